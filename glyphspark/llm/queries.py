@@ -1,11 +1,17 @@
 """The registered queries of this subpackage and their DuckDB SQL."""
 
-from glyphspark.llm import exact_dedup
+from glyphspark.llm import decontaminate, exact_dedup, line_dedup, mixing
 
 QUERIES = {
+    "op1_line_dedup": line_dedup.op1_line_dedup,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op5_mixing": mixing.op5_mixing,
+    "op9_decontaminate": decontaminate.op9_decontaminate,
 }
 
 ORACLES = {
+    "op1_line_dedup": line_dedup.OP1_SQL,
     "op3_exact_dedup": exact_dedup.OP3_SQL,
+    "op5_mixing": mixing.OP5_SQL,
+    "op9_decontaminate": decontaminate.OP9_SQL,
 }
