@@ -9,7 +9,7 @@ hashed to 96 bits.
 2. Units whose hash occurs again meet their hash record by (hash, salt), hot hashes over many salts; all but the earliest
    occurrence are marked.
 3. Documents with marked units read their text again. Neighbouring marked units of one document are a span; spans of
-   at least `min_words` words go. A chance repeat of a few words is no passage and stays.
+   at least `min_words` words, or MIN_WORDS_JOINED in two or more units, go. A chance repeat of a few words is no passage and stays.
 
 Edge cases: null and empty texts have no units; rows repeated with one id and text count as one; a null id ranks last;
 an empty table gives an empty result; only the id and text columns are read, so extra columns never clash.
@@ -28,7 +28,10 @@ from pyspark.sql import functions as F
 from glyphspark.llm.common import add_salt, hot_keys, materialise, null_safe, spread
 
 UNIT_WORDS = 5
-MIN_WORDS = 12
+#: A span has at least so many words, or so many in two or more units (a passage of 50 words that starts and ends within
+#: long sentences shows only its inner units; a lone short line is more often a formula than a passage).
+MIN_WORDS = 20
+MIN_WORDS_JOINED = 12
 STEP = 128
 SENTENCE_END = re.compile(rb"[.!?](?=[ \t\x0b\x0c\r])")
 
@@ -89,7 +92,7 @@ def _spans(min_words: int):
                     at = chars = 0
                     for run_ in runs:
                         words = sum(all_units[k][2] for k in run_)
-                        if words < min_words:
+                        if words < (min_words if len(run_) == 1 else min(min_words, MIN_WORDS_JOINED)):
                             continue
                         start, end = all_units[run_[0]][0], all_units[run_[-1]][1]
                         chars += len(text[at:start].decode())
