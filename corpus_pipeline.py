@@ -1,16 +1,71 @@
-"""A training-data pipeline out of the operators of glyphspark.llm."""
+"""A training-data pipeline out of the operators of glyphspark.llm.
+
+quality classifier -> exact dedup -> SimHash near-dedup -> benchmark decontamination -> mixing to target weights. Every
+stage takes (spark, docs, sf_dir), works on all rows that the stage before kept and returns the columns of documents; the last
+adds what the mix takes of each document. Stages move texts once each: decisions are made on narrow rows and meet the
+texts by (id, text hash).
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from glyphspark.llm.common import materialise, null_safe, pick, without
+from glyphspark.llm.decontaminate import decontaminate
+from glyphspark.llm.exact_dedup import exact_dedup
+from glyphspark.llm.mixing import label_weights, mix
+from glyphspark.llm.quality import documents_quality
+from glyphspark.llm.simhash import simhash_dedup
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    return without(docs, documents_quality(spark, docs, sf_dir).filter(~F.col("kept")))
+
+
+def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One of equal texts stays."""
+    return pick(docs, exact_dedup(docs).filter("kept"))
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The smallest id of each component stays."""
+    found = simhash_dedup(docs).filter(F.col("id").eqNullSafe(F.col("component_id")))
+    same = found.groupBy("id", "text_hash").agg(F.count(F.lit(1)).alias("copies"))
+    stays = same.groupBy("id").agg(F.min(F.struct("text_hash", "copies")).alias("one"))
+    stays = stays.select("id", "one.text_hash", "one.copies")
+    return pick(docs, materialise(stays, "near-kept"))
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Contaminated documents go."""
+    return without(docs, decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).filter("contaminated"))
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of the mix with mix_size, mix_source_size, mix_target and mix_taken (words, repeats counted)."""
+    weights = label_weights(docs.select(F.col("doc_id").alias("id")), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    taken = mix(docs, weights=weights).filter("taken > 0").select("id", "text_hash", *(F.col(c).alias(f"mix_{c}") for c in ("size", "source_size", "target", "taken")))
+    one = taken.dropDuplicates(["id", "text_hash"])
+    keyed = docs.withColumn("id", F.col("doc_id")).withColumn("text_hash", F.xxhash64("text"))
+    return null_safe(keyed, one.hint("shuffle_hash"), ["id", "text_hash"], "inner").drop("id", "text_hash")
+
 
-STAGES = []
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("exact dedup", exact_dedup_stage),
+    ("SimHash near-dedup", near_dedup_stage),
+    ("benchmark decontamination", decontamination_stage),
+    ("mixing sources to target weights", mixing_stage),
+]
 
+#: Two stages (a fitted classifier and components of fingerprints) have no SQL form; tests hold run() against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), "pipeline-" + name.split()[0].lower())
+    return STAGES[-1][1](spark, docs, sf_dir)

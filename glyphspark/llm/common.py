@@ -57,7 +57,7 @@ def null_safe(left: DataFrame, right: DataFrame, on: list[str], how: str) -> Dat
     for c in on:
         one = left[c].eqNullSafe(renamed[f"__r_{c}"])
         cond = one if cond is None else cond & one
-    return left.join(renamed, cond, how).drop(*[f"__r_{c}" for c in on])
+    return left.join(renamed, cond, how).drop(*[f"__r_{c}" for c in on]) if how not in ("left_semi", "left_anti") else left.join(renamed, cond, how)
 
 
 def hot_keys(counts: DataFrame, key: str, n: str) -> list:
@@ -80,3 +80,24 @@ def spread(df: DataFrame, key: str, hot: list) -> DataFrame:
         return df.withColumn("__salt", F.lit(0))
     salts = F.when(F.col(key).isin(hot), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     return df.withColumn("__salt", F.explode(salts))
+
+
+def pick(docs: DataFrame, chosen: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows of docs, all columns, whose (id, text_hash) are in chosen: (id, text_hash, copies), one row each.
+
+    copies: rows of docs with that id and text; of those, one row stays."""
+    keyed = docs.withColumn("__id", F.col(id_col)).withColumn("__th", F.xxhash64(text_col))
+    chosen = chosen.select(F.col("id").alias("__id"), F.col("text_hash").alias("__th"), F.col("copies").alias("__copies"))
+    repeated = chosen.filter(F.col("__copies") > 1)
+    if repeated.isEmpty():
+        return null_safe(keyed, chosen.drop("__copies"), ["__id", "__th"], "left_semi").drop("__id", "__th")
+    once = null_safe(keyed, chosen.filter(F.col("__copies") == 1).drop("__copies"), ["__id", "__th"], "left_semi")
+    more = null_safe(keyed, repeated.drop("__copies"), ["__id", "__th"], "left_semi").dropDuplicates(["__id", "__th"])
+    return once.unionByName(more).drop("__id", "__th")
+
+
+def without(docs: DataFrame, rejected: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows of docs, all columns, whose (id, text_hash) are not in rejected."""
+    keyed = docs.withColumn("__id", F.col(id_col)).withColumn("__th", F.xxhash64(text_col))
+    gone = rejected.select(F.col("id").alias("__id"), F.col("text_hash").alias("__th")).distinct().hint("shuffle_hash")
+    return null_safe(keyed, gone, ["__id", "__th"], "left_anti").drop("__id", "__th")

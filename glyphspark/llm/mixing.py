@@ -13,7 +13,7 @@ prefix-summed; only the rows of the one bucket where a budget ends are sorted. P
 broadcast below MAX_BROADCAST sources and by a shuffle join, which Spark splits where skewed, beyond.
 
 Edge cases: null or blank texts have size 0 and are never taken; a source without words has target 0; a null source is a
-source of its own; equal keys fall to the smaller id; repeated rows are taken on their own; an empty table gives an
+source of its own; equal keys fall to the smaller id, then size; repeated rows are taken on their own; an empty table gives an
 empty result; only the named columns are read, so extra columns never clash.
 """
 
@@ -62,8 +62,8 @@ def uniform(seed: str, id_: Column) -> Column:
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: DataFrame | None = None, seed: str = "mix", max_epochs: int = 3, buckets: int = BUCKETS) -> DataFrame:
-    """One row per input row: id, source, size, source_size, target, taken. weights: (id, weight), one row per id; missing, null or <= 0 count as 1."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"))
+    """One row per input row: id, text_hash (of the text), source, size, source_size, target, taken. weights: (id, weight), one row per id; missing, null or <= 0 count as 1."""
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"))
     rows = rows.withColumn("weight", F.lit(1.0)) if weights is None else rows.join(weights.select("id", "weight"), "id", "left")
     rows = rows.withColumn("weight", F.when(F.col("weight") > 0, F.col("weight").cast("double")).otherwise(1.0))
     key = -F.log(uniform(seed, F.col("id"))) / F.col("weight")
@@ -84,11 +84,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     dealt = null_safe(rows, F.broadcast(plan) if few else plan, ["source"], "inner")
     dealt = dealt.withColumn("end_bucket", F.coalesce("end.bucket", F.lit(buckets)))
     whole = dealt.filter("bucket != end_bucket").withColumn("extra", F.when(F.col("bucket") < F.col("end_bucket"), F.col("size")).otherwise(0))
-    order = Window.partitionBy("source").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    order = Window.partitionBy("source").orderBy("key", "id", "size", "text_hash").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     last = dealt.filter("bucket = end_bucket").withColumn("upto", F.sum("size").over(order) + F.col("end.before"))
     last = last.withColumn("extra", F.greatest(F.lit(0), F.least(F.col("size"), F.col("budget") - (F.col("upto") - F.col("size"))))).drop("upto")
     both = whole.unionByName(last)
-    return both.select("id", "source", "size", "source_size", "target", (F.col("epochs") * F.col("size") + F.col("extra")).cast("long").alias("taken"))
+    return both.select("id", "text_hash", "source", "size", "source_size", "target", (F.col("epochs") * F.col("size") + F.col("extra")).cast("long").alias("taken"))
 
 
 def label_weights(ids: DataFrame, labels: DataFrame) -> DataFrame:
