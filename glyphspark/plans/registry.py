@@ -5,12 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from glyphspark.plans import log_queries, record_queries, search_queries, text_queries
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+for _module in (search_queries, text_queries, log_queries, record_queries):
+    QUERIES |= _module.QUERIES
+    ORACLES |= _module.ORACLES
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs.select("doc_id", F.regexp_count("text", F.lit("the")).alias("hits")).orderBy(F.desc("hits"), "doc_id").limit(20)
+    """The texts with the most occurrences of a word."""
+    return search_queries.search_top(spark, sf_dir)
