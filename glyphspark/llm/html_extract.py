@@ -110,9 +110,9 @@ def blocks_of(page: str) -> list[Block]:
         state["links"] = 0
         state["heading"] = False
 
-    at, size = 0, len(page)
+    at, size, last_tag = 0, len(page), page.rfind(">")
     while at < size:
-        m = TAG.search(page, at)
+        m = TAG.search(page, at) if at <= last_tag or page.find("<!--", at) >= 0 else None
         end = m.start() if m else size
         if end > at and not (stack and stack[-1][1]):
             text = page[at:end]
