@@ -1,18 +1,20 @@
 """Substring dedup: repeated passages go, the earliest occurrence stays, original offsets are retained.
 
-Units: a text is cut at \\n and, within a line, after sentence ends (`.`, `!` or `?` before white space); a sentence of
-fewer than UNIT_WORDS words runs on into what follows it in its line, so that a boundary depends on the words just before
-it only and a passage is cut alike wherever it stands. A unit is normalised (lower case, white space to one space) and
-hashed to 96 bits.
+Units are normalised (A-Z lower-cased, white space to one space), hashed to 96 bits and grouped globally:
+* lines of at least WINDOW words;
+* windows of WINDOW words, wherever they stand in or across lines. Hashing each window would cost a row per word, so a text
+  offers the least hash of every SPAN neighbouring windows (winnowing): two texts that share WINDOW + SPAN - 1 (48) words in
+  a row always offer a common window, and units with fewer than WINDOW words in common never meet.
+Lines alone miss passages that stand inside longer lines, so the windows are an addition to the line method.
 
 1. Units are counted per hash, pre-aggregated in each task, with the earliest occurrence by (id, position).
 2. Units whose hash occurs again meet their hash record by (hash, salt), hot hashes over many salts; all but the earliest
    occurrence are marked.
-3. Documents with marked units read their text again. Neighbouring marked units of one document are a span; spans of
-   at least `min_words` words, or MIN_WORDS_JOINED in two or more units, go. A chance repeat of a few words is no passage and stays.
+3. Documents with marked units read their text again; marked units that overlap or touch are one span, and spans go.
 
-Edge cases: null and empty texts have no units; rows repeated with one id and text count as one; a null id ranks last;
-an empty table gives an empty result; only the id and text columns are read, so extra columns never clash.
+Edge cases: null and empty texts have no units; rows repeated with one id and text count as one; a null id ranks last; a
+repetition inside one document leaves its first occurrence whole; an empty table gives an empty result; only the id and
+text columns are read, so extra columns never clash.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -27,99 +30,123 @@ from pyspark.sql import functions as F
 
 from glyphspark.llm.common import add_salt, hot_keys, materialise, null_safe, spread
 
-UNIT_WORDS = 5
-#: A span has at least so many words, or so many in two or more units (a passage of 50 words that starts and ends within
-#: long sentences shows only its inner units; a lone short line is more often a formula than a passage).
-MIN_WORDS = 20
-MIN_WORDS_JOINED = 12
+WINDOW, SPAN = 32, 17
 STEP = 128
-SENTENCE_END = re.compile(rb"[.!?](?=[ \t\x0b\x0c\r])")
-
-
-def units(text: bytes) -> list[tuple[int, int, int, bytes]]:
-    """(start, end, words, normalised bytes) in byte offsets; units without words are left out."""
-    found, at = [], 0
+LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+WORD = re.compile(rb"[^ \t\n\x0b\x0c\r]+")
+_BASES = [(b, pow(b, -1, 1 << 64)) for b in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)]
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
+    return x ^ (x >> np.uint64(33))
+
+
+def _rolled(words: np.ndarray, base: int, inverse: int) -> np.ndarray:
+    """Hashes of all windows of WINDOW words from sums of word hashes times powers, modulo 2 ** 64."""
+    n = len(words)
+    down, up = np.full(n, inverse, np.uint64), np.full(n, base, np.uint64)
+    down[0] = up[0] = 1
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * np.multiply.accumulate(down), dtype=np.uint64)])
+    return _mixed((sums[WINDOW:] - sums[:-WINDOW]) * np.multiply.accumulate(up)[: n - WINDOW + 1])
+
+
+def windows(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Offered windows: first word, 64 and 32 bits of hash."""
+    none = np.zeros(0, np.int64)
+    if len(words) < WINDOW:
+        return none, none, none
+    each = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    h = _rolled(each, *_BASES[0])
+    # equal hashes (a text that repeats itself) fall to every SPAN-th place
+    ranked = (h & ~np.uint64(1)) | (np.arange(len(h)) % SPAN != 0).astype(np.uint64)
+    if len(h) <= SPAN:
+        at = np.array([int(np.argmin(ranked))])
+    else:
+        view = np.lib.stride_tricks.sliding_window_view(ranked, SPAN)
+        at = np.unique(np.concatenate([np.argmin(view[i : i + 65536], 1) + np.arange(i, min(i + 65536, len(view))) for i in range(0, len(view), 65536)]))
+    g = _rolled(each, *_BASES[1])[at] & np.uint64(0x7FFFFFFF)
+    return at, h[at].view(np.int64), g.astype(np.int64)
+
+
+def lines(text: bytes) -> list[tuple[int, int, bytes]]:
+    """Lines of WINDOW words or more: first word, word after the last, normalised line."""
+    found, first = [], 0
     for line in text.split(b"\n"):
-        begin = 0
-        last = 0
-        ends = [m.end() for m in SENTENCE_END.finditer(line)]
-        ends.append(len(line))
-        for end in ends:
-            # the sentence alone decides whether a unit ends here
-            if end == len(line) or len(line[last:end].split()) >= UNIT_WORDS:
-                words = line[begin:end].split()
-                if words:
-                    lead = len(line[begin:end]) - len(line[begin:end].lstrip())
-                    found.append((at + begin + lead, at + end, len(words), b" ".join(words).lower()))
-                begin = end
-            last = end
-        at += len(line) + 1
+        words = line.split()
+        if len(words) >= WINDOW:
+            found.append((first, first + len(words), b" ".join(words)))
+        first += len(words)
     return found
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (id, th, first, size, h, g) of all units."""
     for batch in batches:
         for off in range(0, batch.num_rows, STEP):
             part = batch.slice(off, STEP)
-            ids, hashes, pos, h, g = [], [], [], [], []
+            parts: list[tuple] = []
             for i, t, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).cast(pa.binary()).to_pylist(), strict=True):
-                for k, (_, _, _, norm) in enumerate(units(text)):
-                    d = xxhash.xxh3_128_digest(norm)
-                    ids.append(i)
-                    hashes.append(t)
-                    pos.append(k)
-                    h.append(int.from_bytes(d[:8], "little", signed=True))
-                    g.append(int.from_bytes(d[8:12], "little", signed=True))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(pos, pa.int32()), pa.array(h, pa.int64()), pa.array(g, pa.int32())], ["id", "th", "pos", "h", "g"])
+                text = text.translate(LOWER)
+                at, h, g = windows(text.split())
+                digests = [(a, b - a, xxhash.xxh3_128_digest(norm)) for a, b, norm in lines(text)]
+                first = np.concatenate([at, np.array([d[0] for d in digests], np.int64)])
+                size = np.concatenate([np.full(len(at), WINDOW), np.array([d[1] for d in digests], np.int64)])
+                h = np.concatenate([h, np.array([int.from_bytes(d[2][:8], "little", signed=True) for d in digests], np.int64)])
+                g = np.concatenate([g, np.array([-int.from_bytes(d[2][8:11], "little") - 1 for d in digests], np.int64)])
+                parts.append(([i] * len(first), [t] * len(first), first, size, h, g))
+            ids, hashes = ([x for p in parts for x in p[k]] for k in (0, 1))
+            first, size, h, g = (np.concatenate([p[k] for p in parts]) for k in (2, 3, 4, 5))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(first, pa.int32()), pa.array(size, pa.int32()), pa.array(h, pa.int64()), pa.array(g, pa.int32())], ["id", "th", "pos", "size", "h", "g"]
+            )
 
 
 SPANS = pa.schema([("id", pa.int64()), ("text_hash", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("n_words", pa.int64()), ("keep_id", pa.int64())])
 
 
-def _spans(min_words: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for off in range(0, batch.num_rows, STEP):
-                part, rows = batch.slice(off, STEP), []
-                for i, t, text, marks in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).cast(pa.binary()).to_pylist(), part.column(3).to_pylist(), strict=True):
-                    all_units, keep = units(text), {m["pos"]: m["keep_id"] for m in marks}
-                    runs: list[list[int]] = []
-                    for k in sorted(keep):
-                        if runs and runs[-1][-1] == k - 1:
-                            runs[-1].append(k)
-                        else:
-                            runs.append([k])
-                    at = chars = 0
-                    for run_ in runs:
-                        words = sum(all_units[k][2] for k in run_)
-                        if words < (min_words if len(run_) == 1 else min(min_words, MIN_WORDS_JOINED)):
-                            continue
-                        start, end = all_units[run_[0]][0], all_units[run_[-1]][1]
-                        chars += len(text[at:start].decode())
-                        first = chars
-                        chars += len(text[start:end].decode())
-                        at = end
-                        rows.append({"id": i, "text_hash": t, "start": first, "end": chars, "n_words": words, "keep_id": keep[run_[0]]})
-                yield pa.RecordBatch.from_pylist(rows, SPANS)
-
-    return run
-
-
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for off in range(0, batch.num_rows, STEP):
+            part, rows = batch.slice(off, STEP), []
+            for i, t, text, marks in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).cast(pa.binary()).to_pylist(), part.column(3).to_pylist(), strict=True):
+                merged: list[list] = []
+                for m in sorted(marks, key=lambda m: (m["pos"], -m["size"])):
+                    # own: words up to here are the occurrence that stays, in this very document
+                    a, b = max(m["pos"], m["own"]), m["pos"] + m["size"]
+                    if a >= b:
+                        continue
+                    if merged and a <= merged[-1][1]:
+                        merged[-1][1] = max(merged[-1][1], b)
+                    else:
+                        merged.append([a, b, m["keep_id"]])
+                places = [w.span() for w in WORD.finditer(text)]
+                at = chars = 0
+                for a, b, keep in merged:
+                    start, end = places[a][0], places[b - 1][1]
+                    first = chars + len(text[at:start].decode())
+                    chars, at = first + len(text[start:end].decode()), end
+                    rows.append({"id": i, "text_hash": t, "start": first, "end": chars, "n_words": b - a, "keep_id": keep})
+            yield pa.RecordBatch.from_pylist(rows, SPANS)
+
+
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per removed span: id, text_hash (of the text), start, end (code points), n_words, keep_id (the document
     that keeps the earliest occurrence of the span's first unit)."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text")).filter("text <> ''")
-    each = texts.mapInArrow(_units, "id long, th long, pos int, h long, g int")
+    each = texts.mapInArrow(_units, "id long, th long, pos int, size int, h long, g int")
     rank = F.struct(F.col("id").isNull().alias("none"), "id", "th", "pos")
     seen = each.groupBy("h", "g").agg(F.count(F.lit(1)).alias("n"), F.min(rank).alias("first")).filter("n > 1")
     seen = materialise(seen.select("h", "g", "n", F.col("first.id").alias("first_id"), F.col("first.th").alias("first_th"), F.col("first.pos").alias("first_pos")), "units-shared")
     hot = hot_keys(seen, "h", "n")
     found = add_salt(each, "h", hot, F.struct("id", "pos")).join(spread(seen.drop("n"), "h", hot).hint("shuffle_hash"), ["h", "g", "__salt"])
-    again = ~(F.col("id").eqNullSafe(F.col("first_id")) & (F.col("th") == F.col("first_th")) & (F.col("pos") == F.col("first_pos")))
-    marks = found.filter(again).groupBy("id", "th").agg(F.collect_set(F.struct("pos", F.col("first_id").alias("keep_id"))).alias("marks"))
+    here = F.col("id").eqNullSafe(F.col("first_id")) & (F.col("th") == F.col("first_th"))
+    mark = F.struct("pos", "size", F.when(here, F.col("first_pos") + F.col("size")).otherwise(0).alias("own"), F.col("first_id").alias("keep_id"))
+    marks = found.filter(~(here & (F.col("pos") == F.col("first_pos")))).groupBy("id", "th").agg(F.collect_set(mark).alias("marks"))
     marks = materialise(marks, "units-marked")
     held = null_safe(texts, marks.hint("shuffle_hash"), ["id", "th"], "inner").select("id", "th", "text", "marks")
-    return held.mapInArrow(_spans(min_words), "id long, text_hash long, start long, end long, n_words long, keep_id long")
+    return held.mapInArrow(_spans, "id long, text_hash long, start long, end long, n_words long, keep_id long")
 
 
 def remaining_text(text, spans):
