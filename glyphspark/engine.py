@@ -10,6 +10,7 @@ from glyphspark import __version__
 from glyphspark.functions import entities, match
 from glyphspark.operators import analytics, recommend, search
 from glyphspark.schema import ENTITY
+from glyphspark.shipping import ship
 from glyphspark.sources import files
 from glyphspark.streaming.monitor import Monitor
 
@@ -19,6 +20,7 @@ class Engine:
 
     def __init__(self, spark: SparkSession | None = None, log_path: str | None = None):
         self.spark = spark or SparkSession.builder.getOrCreate()
+        ship(self.spark)
         self.log_path = log_path
         self.monitor = Monitor(self.spark)
 
