@@ -1,7 +1,7 @@
 """Quality classifier: hierarchical empirical Bayes over document evidence, hosts and paths.
 
 Document evidence. Two classifiers are fitted on a bounded sample of labelled rows (SAMPLE_ROWS, the smallest hashes of
-their ids; equal texts count once):
+their ids; equal and nearly equal texts count once, else the invented words of one copied text would look toxic):
 * toxic words: each word's rate of toxic documents, shrunk by a Beta prior at the global rate; a word is kept when its
   rate is well above one half and too high to be chance among all words tested. A document's evidence is that of its strongest words (noisy or), so
   length alone never adds up to a rejection.
@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +41,8 @@ SAMPLE_ROWS = 6000
 WORD_SUPPORT = 4
 #: Largest log-odds shift by which a site may move a document.
 SITE_SHIFT = 1.0
+#: Word hashes that describe a sampled text, and how many shared ones make two texts near copies.
+SKETCH, SKETCH_SHARED = 24, 8
 STEP = 64
 SHAPES = 10
 #: Byte classes for the shape figures: 1 upper case, 2 other letters, 3 digits, 4 white space, 5 common punctuation, 6 bar, 7 other symbols.
@@ -62,6 +65,20 @@ def chance(b: int, n: int, rate: float) -> float:
     return sum(math.exp(math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(rate) + (n - k) * math.log1p(-rate)) for k in range(b, n + 1))
 
 
+def distinct_texts(sketches: list[list[int]]) -> list[int]:
+    """Places of the texts that are no near copy of an earlier one."""
+    holders: dict[int, list[int]] = {}
+    kept = []
+    for k, sketch in enumerate(sketches):
+        shared = Counter(leader for x in sketch for leader in holders.get(x, ()))
+        if sketch and any(n >= min(SKETCH_SHARED, len(sketch)) for n in shared.values()):
+            continue
+        kept.append(k)
+        for x in sketch:
+            holders.setdefault(x, []).append(k)
+    return kept
+
+
 class Model:
     """Toxic word rates and a logistic regression on shapes."""
 
@@ -107,7 +124,7 @@ class Model:
         return 1 - clean, 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-FEATURES = pa.schema([("quality", pa.int32()), ("toxic", pa.int32()), ("words", pa.list_(pa.string())), ("shape", pa.list_(pa.float64()))])
+FEATURES = pa.schema([("quality", pa.int32()), ("toxic", pa.int32()), ("words", pa.list_(pa.string())), ("shape", pa.list_(pa.float64())), ("sketch", pa.list_(pa.int64()))])
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,7 +134,9 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for q, t, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).cast(pa.binary()).to_pylist(), strict=True):
                 words = text.translate(WORD_BYTES).split() if text else []
                 if words:
-                    rows.append({"quality": q, "toxic": t, "words": [w.decode() for w in set(words)], "shape": shape(text, words)})
+                    distinct = set(words)
+                    hashes = np.sort(np.fromiter(map(xxhash.xxh3_64_intdigest, distinct), np.uint64, len(distinct)))[:SKETCH]
+                    rows.append({"quality": q, "toxic": t, "words": [w.decode() for w in distinct], "shape": shape(text, words), "sketch": hashes.view(np.int64).tolist()})
             yield pa.RecordBatch.from_pylist(rows, FEATURES)
 
 
@@ -127,12 +146,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
     known = texts.select("id", "th").join(each, "id").groupBy("th").agg(F.min("id").alias("id"), F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     chosen = materialise(known.orderBy(F.xxhash64("id"), "id").limit(sample_rows), "quality-sample")
-    rows = texts.join(F.broadcast(chosen), ["id", "th"]).dropDuplicates(["id", "th"]).select("quality", "toxic", "text").mapInArrow(_features, "quality int, toxic int, words array<string>, shape array<double>")
+    rows = texts.join(F.broadcast(chosen), ["id", "th"]).dropDuplicates(["id", "th"]).select("quality", "toxic", "text").mapInArrow(_features, "quality int, toxic int, words array<string>, shape array<double>, sketch array<long>")
     rows = materialise(rows, "quality-features")
     common = rows.select(F.explode("words").alias("w"), "toxic").groupBy("w").agg(F.sum("toxic").alias("n")).filter(F.col("n") >= WORD_SUPPORT).select("w")
     words = [r[0] for r in common.collect()]  # words of the bounded sample that WORD_SUPPORT toxic documents share
     kept = F.filter("words", lambda w: w.isin(words)) if words else F.array().cast("array<string>")
-    return Model([tuple(r) for r in rows.select("quality", "toxic", kept.alias("words"), "shape").toLocalIterator()])
+    found = sorted(tuple(r) for r in rows.select("sketch", F.coalesce("quality", F.lit(-1)), F.coalesce("toxic", F.lit(-1)), kept.alias("words"), "shape").toLocalIterator())
+    known = lambda x: None if x < 0 else x
+    return Model([(known(q), known(t), words, figures) for _, q, t, words, figures in (found[k] for k in distinct_texts([r[0] for r in found]))])
 
 
 def _odds(p: Column) -> Column:
