@@ -41,7 +41,7 @@ SAMPLE_ROWS = 6000
 WORD_SUPPORT = 4
 #: Largest log-odds shift by which a site may move a document.
 SITE_SHIFT = 1.0
-#: Word hashes that describe a sampled text, and how many shared ones make two texts near copies.
+#: Shingle hashes that describe a sampled text, and how many shared ones make two texts near copies.
 SKETCH, SKETCH_SHARED = 24, 8
 STEP = 64
 SHAPES = 10
@@ -65,6 +65,15 @@ def chance(b: int, n: int, rate: float) -> float:
     return sum(math.exp(math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(rate) + (n - k) * math.log1p(-rate)) for k in range(b, n + 1))
 
 
+def sketch_of(words: list[bytes]) -> list[int]:
+    """The SKETCH least hashes of a text's three-word shingles."""
+    each = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    each = np.concatenate([each, np.zeros(2, np.uint64)])
+    h = each[:-2] * np.uint64(0x9E3779B97F4A7C15) + each[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + each[2:] * np.uint64(0x165667B19E3779F9)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return np.unique(h ^ (h >> np.uint64(32)))[:SKETCH].view(np.int64).tolist()
+
+
 def distinct_texts(sketches: list[list[int]]) -> list[int]:
     """Places of the texts that are no near copy of an earlier one."""
     holders: dict[int, list[int]] = {}
@@ -134,9 +143,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for q, t, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).cast(pa.binary()).to_pylist(), strict=True):
                 words = text.translate(WORD_BYTES).split() if text else []
                 if words:
-                    distinct = set(words)
-                    hashes = np.sort(np.fromiter(map(xxhash.xxh3_64_intdigest, distinct), np.uint64, len(distinct)))[:SKETCH]
-                    rows.append({"quality": q, "toxic": t, "words": [w.decode() for w in distinct], "shape": shape(text, words), "sketch": hashes.view(np.int64).tolist()})
+                    rows.append({"quality": q, "toxic": t, "words": [w.decode() for w in set(words)], "shape": shape(text, words), "sketch": sketch_of(words)})
             yield pa.RecordBatch.from_pylist(rows, FEATURES)
 
 
