@@ -84,12 +84,10 @@ def find_many(text: Column, patterns: list[str | bytes]) -> Column:
 
 
 def _finder(needles: list[bytes]):
-    try:
-        import ahocorasick
-    except ImportError:
-        ahocorasick = None
-    if ahocorasick is None or sum(bool(n) for n in needles) < AUTOMATON_FROM:
+    if sum(bool(n) for n in needles) < AUTOMATON_FROM:
         return lambda text: [(k, p) for k, n in enumerate(needles) for p in occurrences(text, n)]
+    import ahocorasick  # only for many patterns, so that others need not have it
+
     automaton = ahocorasick.Automaton()
     for n in {n for n in needles if n}:
         automaton.add_word(n.decode("latin-1"), ([k for k, other in enumerate(needles) if other == n], len(n)))
