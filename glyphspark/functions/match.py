@@ -45,8 +45,9 @@ def find_all(text: Column, pattern: str | bytes) -> Column:
 
     if not needle:
         return F.when(text.isNotNull(), F.array().cast("array<bigint>"))
-    none = F.array().cast("array<bigint>")
-    return F.when(text.isNull(), F.lit(None)).when(F.contains(text, F.lit(needle if isinstance(pattern, bytes) else pattern)), search(text)).otherwise(none)
+    # Python sees null instead of a text without the pattern: a condition around the function would not spare it the text
+    held = F.when(F.contains(text, F.lit(needle if isinstance(pattern, bytes) else pattern)), text)
+    return F.when(text.isNotNull(), F.coalesce(search(held), F.array().cast("array<bigint>")))
 
 
 def find_all_native(text: Column, pattern: str) -> Column:
