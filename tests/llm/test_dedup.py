@@ -188,6 +188,25 @@ def test_simhash_repeats_and_nulls(spark):
     assert sorted((str(r["id"]), str(r["component_id"])) for r in got) == [("3", "3"), ("3", "3"), ("None", "3"), ("None", "None")]
 
 
+def test_several_fingerprints_find_more(spark):
+    """Copies with a word changed are grouped; unrelated texts are not."""
+    rng = random.Random(9)
+    rows, family = [], {}
+    for f in range(30):
+        base = [f"w{rng.randrange(5000)}" for _ in range(300)]
+        for _ in range(3):
+            words = base[:]
+            for k in rng.sample(range(300), 1):
+                words[k] = f"n{rng.randrange(10**6)}"
+            family[len(rows)] = f
+            rows.append((len(rows), " ".join(words)))
+    got = {r["id"]: r["component_id"] for r in simhash.simhash_dedup(docs(spark, rows), seeds=12).collect()}
+    assert all(family[i] == family[c] for i, c in got.items())
+    assert sum(i != c for i, c in got.items()) >= 57
+    alone = simhash.simhash_dedup(docs(spark, rows)).collect()
+    assert sum(r["id"] != r["component_id"] for r in alone) < 57
+
+
 @pytest.mark.parametrize("split", [4096, 16])
 def test_links_of_a_key(monkeypatch, split):
     """The chains of all 24 keys find every pair within three bits, also when a key's group is split."""
