@@ -30,7 +30,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One of equal texts stays."""
-    return pick(docs, exact_dedup(docs).filter("kept"))
+    return pick(docs, materialise(exact_dedup(docs).filter("kept").select("id", "text_hash", "copies"), "exact-kept"))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

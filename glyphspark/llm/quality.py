@@ -16,7 +16,7 @@ global rate, at most SITE_SHIFT either way, is added to the document's log-odds;
 Scale: texts are scored in place and only (id, host, path, p) is written; site tables are grouped sums, pre-aggregated per
 task, and meet the narrow scores by a join that Spark splits where a host is hot.
 
-Edge cases: null and empty texts have no evidence (p is the global rate) and are kept; a null host or path is a site of
+Edge cases: null and empty texts have no evidence, p is the global rate (they are kept unless most documents are bad); a null host or path is a site of
 its own; without labels both classifiers are silent; repeated rows are scored alike; an empty table gives an empty result;
 only the named columns are read, so extra columns never clash.
 """
@@ -203,7 +203,6 @@ def quality(docs: DataFrame, model: Model, host: Column, path: Column, id_col: s
 
     out = null_safe(scored, sites, ["host", "path"], "inner")
     shift = F.least(F.greatest(_odds(F.col("path_rate")) - _odds(F.lit(mean)), F.lit(-SITE_SHIFT)), F.lit(SITE_SHIFT))
-    # silent evidence (the prior itself) is not a reason to reject
     score = 1 / (1 + F.exp(-(_odds(F.col("p")) + shift)))
     return out.select("id", "text_hash", "p_toxic", "p_low", "host_rate", "path_rate", score.alias("score"), (score <= 0.5).alias("kept"))
 
