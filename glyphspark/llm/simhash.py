@@ -41,6 +41,8 @@ NEAR = 0.118
 SEGMENTS = 8
 #: Keys of a fingerprint.
 TAGS = 3 * SEGMENTS
+#: Filed rows that a task sorts, as long as that takes no more than MAX_TASKS tasks.
+TASK_ROWS, MAX_TASKS = 500_000, 100_000
 #: Fingerprints of one key that are compared as one block; larger groups are split by a further byte.
 SPLIT = 4096
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -246,7 +248,9 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         filed = classes.select(F.lit(0).alias("seed"), "fp", F.col("fp").alias("node"))
     else:
         filed = prints.select(F.col("fp").alias("node"), F.posexplode("fps").alias("seed", "fp")).distinct()
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+        filed = materialise(filed, "simhash-filed")
+    rows = TAGS * filed.count()
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(rows // TASK_ROWS, MAX_TASKS), 1)
     links = _keys(filed).repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_bucket_links, "a long, b long")
     if seeds > 1:
         links = _near(materialise(links.distinct(), "simhash-links"), prints, int(NEAR * 64 * seeds))
