@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from glyphspark.functions import match
 from glyphspark.operators import search
 from glyphspark.plans.registering import collector
-from glyphspark.plans.views import table
+from glyphspark.plans.views import spread_out, table
 
 QUERIES, ORACLES, query = collector()
 
@@ -76,7 +76,7 @@ def search_multi_total(spark, sf_dir):
 
 @query(" UNION ALL ".join(f"SELECT doc_id, '{name}' AS algorithm, {_count(WORD)} AS match_count, {'TRUE' if name == 'KMP' else 'FALSE'} AS auto_selected FROM documents" for name in (*match.EXACT, match.MULTI)))
 def search_compare(spark, sf_dir):
-    return search.compare(table(spark, sf_dir, "documents"), WORD, "doc_id").filter(F.col("algorithm") != "Fuzzy (k=1)")
+    return search.compare(spread_out(table(spark, sf_dir, "documents").select("doc_id", "text")), WORD, "doc_id").filter(F.col("algorithm") != "Fuzzy (k=1)")
 
 
 @query(_positions_sql("documents", "doc_id", WORD))
@@ -94,27 +94,27 @@ def chunk_layout(spark, sf_dir):
 @query()
 def search_enriched(spark, sf_dir):
     """Snippets and entities around the first matches; offsets of entities need Python, so there is no SQL."""
-    found = search.search(table(spark, sf_dir, "documents"), "@", enriched=True)
+    found = search.search(spread_out(table(spark, sf_dir, "documents").select("doc_id", "text")), "@", enriched=True)
     return found.select("doc_id", F.explode("enriched").alias("e")).select("doc_id", "e.byte_offset", "e.char_offset", "e.snippet", F.to_json("e.entities").alias("entities"))
 
 
 @query()
 def fuzzy_compat(spark, sf_dir):
     """The engine's own approximate matching; bit vectors have no SQL form."""
-    found = search.search(table(spark, sf_dir, "documents"), "there", fuzzy=True)
+    found = search.search(spread_out(table(spark, sf_dir, "documents").select("doc_id", "text")), "there", fuzzy=True)
     return found.select("doc_id", "match_count", F.array_join(F.transform("matches", lambda p: p.cast("string")), ",").alias("ends"))
 
 
 @query()
 def fuzzy_edit(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents")
+    rows = spread_out(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return rows.select("doc_id", F.size(match.find_fuzzy(F.col("text"), "there", 1, "edit")).alias("hits"))
 
 
 @query()
 def fuzzy_hamming(spark, sf_dir):
     """Every window of every text against the pattern; too slow in SQL, tested against brute force."""
-    rows = table(spark, sf_dir, "documents")
+    rows = spread_out(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return rows.select("doc_id", F.size(match.find_fuzzy(F.col("text"), "there", 1, "hamming")).alias("hits"))
 
 

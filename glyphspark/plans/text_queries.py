@@ -8,7 +8,7 @@ from glyphspark.functions import entities, match, profile
 from glyphspark.functions import text as tx
 from glyphspark.operators.analytics import grouped_entities
 from glyphspark.plans.registering import collector
-from glyphspark.plans.views import table
+from glyphspark.plans.views import spread_out, table
 
 QUERIES, ORACLES, query = collector()
 
@@ -125,7 +125,7 @@ def entity_counts_by_type(spark, sf_dir):
 @query()
 def entity_full(spark, sf_dir):
     """All entities with offsets (Python's regular expressions, so no SQL)."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(entities.extract_entities(F.col("text"))).alias("e"))
+    rows = spread_out(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.explode(entities.extract_entities(F.col("text"))).alias("e"))
     return rows.select("doc_id", "e.*")
 
 

@@ -12,6 +12,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread_out(rows: DataFrame) -> DataFrame:
+    """Rows dealt over all cores where the input has too few splits for heavy work per row; large inputs stay as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(2 * cores) if rows.rdd.getNumPartitions() <= 2 * cores else rows
+
+
 def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
     k = F.get_json_object("props", "$.k").cast("bigint")
