@@ -10,7 +10,11 @@ Lines alone miss passages that stand inside longer lines, so the windows are an
 1. Units are counted per hash, pre-aggregated in each task, with the earliest occurrence by (id, position).
 2. Units whose hash occurs again meet their hash record by (hash, salt), hot hashes over many salts; all but the earliest
    occurrence are marked.
-3. Documents with marked units read their text again; marked units that overlap or touch are one span, and spans go.
+3. Offered windows are anchors only: a repeated passage starts up to SPAN - 1 words before its first one and ends as far
+   behind its last one. Anchors with unmarked words that near are edges; wherever an edge's hash occurs, all windows
+   within SPAN - 1 words are counted as in 1, and those with unmarked words are marked as in 2. So of a passage of
+   WINDOW + SPAN - 1 words or more that an earlier text has, every word goes.
+4. Marked units that overlap or touch are one span, and spans go.
 
 Edge cases: null and empty texts have no units; rows repeated with one id and text count as one; a null id ranks last; a
 repetition inside one document leaves its first occurrence whole; an empty table gives an empty result; only the id and
@@ -20,6 +24,7 @@ text columns are read, so extra columns never clash.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,13 +57,18 @@ def _rolled(words: np.ndarray, base: int, inverse: int) -> np.ndarray:
     return _mixed((sums[WINDOW:] - sums[:-WINDOW]) * np.multiply.accumulate(up)[: n - WINDOW + 1])
 
 
+def window_hashes(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64 and 31 bits of hash of all windows; WINDOW words or more."""
+    each = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    return _rolled(each, *_BASES[0]), (_rolled(each, *_BASES[1]) & np.uint64(0x7FFFFFFF)).astype(np.int64)
+
+
 def windows(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Offered windows: first word, 64 and 32 bits of hash."""
     none = np.zeros(0, np.int64)
     if len(words) < WINDOW:
         return none, none, none
-    each = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-    h = _rolled(each, *_BASES[0])
+    h, g = window_hashes(words)
     # equal hashes (a text that repeats itself) fall to every SPAN-th place
     ranked = (h & ~np.uint64(1)) | (np.arange(len(h)) % SPAN != 0).astype(np.uint64)
     if len(h) <= SPAN:
@@ -66,8 +76,7 @@ def windows(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     else:
         view = np.lib.stride_tricks.sliding_window_view(ranked, SPAN)
         at = np.unique(np.concatenate([np.argmin(view[i : i + 65536], 1) + np.arange(i, min(i + 65536, len(view))) for i in range(0, len(view), 65536)]))
-    g = _rolled(each, *_BASES[1])[at] & np.uint64(0x7FFFFFFF)
-    return at, h[at].view(np.int64), g.astype(np.int64)
+    return at, h[at].view(np.int64), g[at]
 
 
 def lines(text: bytes) -> list[tuple[int, int, bytes]]:
@@ -82,27 +91,87 @@ def lines(text: bytes) -> list[tuple[int, int, bytes]]:
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (id, th, first, size, h, g) of all units."""
+    """Rows (id, th, first, size, room, h, g) of all units; room: words that follow, SPAN - 1 at most; g < 0: a line."""
     for batch in batches:
         for off in range(0, batch.num_rows, STEP):
             part = batch.slice(off, STEP)
             parts: list[tuple] = []
             for i, t, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).cast(pa.binary()).to_pylist(), strict=True):
                 text = text.translate(LOWER)
-                at, h, g = windows(text.split())
+                words = text.split()
+                at, h, g = windows(words)
                 digests = [(a, b - a, xxhash.xxh3_128_digest(norm)) for a, b, norm in lines(text)]
                 first = np.concatenate([at, np.array([d[0] for d in digests], np.int64)])
                 size = np.concatenate([np.full(len(at), WINDOW), np.array([d[1] for d in digests], np.int64)])
                 h = np.concatenate([h, np.array([int.from_bytes(d[2][:8], "little", signed=True) for d in digests], np.int64)])
                 g = np.concatenate([g, np.array([-int.from_bytes(d[2][8:11], "little") - 1 for d in digests], np.int64)])
-                parts.append(([i] * len(first), [t] * len(first), first, size, h, g))
+                parts.append(([i] * len(first), [t] * len(first), first, size, np.minimum(len(words) - first - size, SPAN - 1), h, g))
             ids, hashes = ([x for p in parts for x in p[k]] for k in (0, 1))
-            first, size, h, g = (np.concatenate([p[k] for p in parts]) for k in (2, 3, 4, 5))
+            first, size, room, h, g = (np.concatenate([p[k] for p in parts]) for k in (2, 3, 4, 5, 6))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(first, pa.int32()), pa.array(size, pa.int32()), pa.array(h, pa.int64()), pa.array(g, pa.int32())], ["id", "th", "pos", "size", "h", "g"]
+                [pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(first, pa.int32()), pa.array(size, pa.int32()), pa.array(room, pa.int32()), pa.array(h, pa.int64()), pa.array(g, pa.int32())],
+                ["id", "th", "pos", "size", "room", "h", "g"],
             )
 
 
+def covered(marks: list[dict]) -> list[list]:
+    """Marked units that overlap or touch as one: first word, word after the last, keep_id of the first unit."""
+    merged: list[list] = []
+    for m in sorted(marks, key=lambda m: (m["pos"], -m["size"])):
+        # own: words up to here are the occurrence that stays, in this very document
+        a, b = max(m["pos"], m["own"]), m["pos"] + m["size"]
+        if a >= b:
+            continue
+        if merged and a <= merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], b)
+        else:
+            merged.append([a, b, m["keep_id"]])
+    return merged
+
+
+def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(h, g) of marked windows that have unmarked words within SPAN - 1 words."""
+    for batch in batches:
+        for off in range(0, batch.num_rows, STEP):
+            found = set()
+            for marks in batch.slice(off, STEP).column(0).to_pylist():
+                merged = covered(marks)
+                starts = [a for a, _, _ in merged]
+                for m in marks:
+                    if m["g"] < 0:
+                        continue
+                    k = bisect_right(starts, max(0, m["pos"] - SPAN + 1)) - 1
+                    if k < 0 or merged[k][1] < m["pos"] + m["size"] + m["room"]:
+                        found.add((m["h"], m["g"]))
+            yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in found], pa.int64()), pa.array([g for _, g in found], pa.int32())], ["h", "g"])
+
+
+def _beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (id, th, pos, h, g, open) of all windows within SPAN - 1 words of edges; open: it has unmarked words."""
+    for batch in batches:
+        for off in range(0, batch.num_rows, STEP):
+            part, parts = batch.slice(off, STEP), []
+            for i, t, text, marks in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).cast(pa.binary()).to_pylist(), part.column(3).to_pylist(), strict=True):
+                edges = np.array([m["pos"] for m in marks if m["near"]], np.int64)
+                if not len(edges):
+                    continue
+                words = text.translate(LOWER).split()
+                h, g = window_hashes(words)
+                at = np.unique((edges[:, None] + np.arange(1 - SPAN, SPAN)).ravel())
+                at = at[(at >= 0) & (at < len(h))]
+                marked = np.zeros(len(words) + 1, np.int64)
+                for a, b, _ in covered([m for m in marks if m["later"]]):
+                    marked[a + 1 : b + 1] = 1
+                marked = np.cumsum(marked)
+                parts.append(([i] * len(at), [t] * len(at), at, h[at].view(np.int64), g[at], marked[at + WINDOW] - marked[at] < WINDOW))
+            if parts:
+                ids, hashes = ([x for p in parts for x in p[k]] for k in (0, 1))
+                at, h, g, is_open = (np.concatenate([p[k] for p in parts]) for k in (2, 3, 4, 5))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(at, pa.int32()), pa.array(h, pa.int64()), pa.array(g, pa.int32()), pa.array(is_open)], ["id", "th", "pos", "h", "g", "open"]
+                )
+
+
 SPANS = pa.schema([("id", pa.int64()), ("text_hash", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("n_words", pa.int64()), ("keep_id", pa.int64())])
 
 
@@ -111,16 +180,7 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for off in range(0, batch.num_rows, STEP):
             part, rows = batch.slice(off, STEP), []
             for i, t, text, marks in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).cast(pa.binary()).to_pylist(), part.column(3).to_pylist(), strict=True):
-                merged: list[list] = []
-                for m in sorted(marks, key=lambda m: (m["pos"], -m["size"])):
-                    # own: words up to here are the occurrence that stays, in this very document
-                    a, b = max(m["pos"], m["own"]), m["pos"] + m["size"]
-                    if a >= b:
-                        continue
-                    if merged and a <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], b)
-                    else:
-                        merged.append([a, b, m["keep_id"]])
+                merged = covered(marks)
                 places = [w.span() for w in WORD.finditer(text)]
                 at = chars = 0
                 for a, b, keep in merged:
@@ -135,18 +195,36 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per removed span: id, text_hash (of the text), start, end (code points), n_words, keep_id (the document
     that keeps the earliest occurrence of the span's first unit)."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text")).filter("text <> ''")
-    each = texts.mapInArrow(_units, "id long, th long, pos int, size int, h long, g int")
+    each = texts.mapInArrow(_units, "id long, th long, pos int, size int, room int, h long, g int")
+    met, hot = _met(each, "units")
+    met = materialise(met, "units-met")
+    marks = met.filter("later").groupBy("id", "th").agg(F.collect_set(F.struct("pos", "size", "room", "own", "keep_id", "h", "g")).alias("marks"))
+    edges = materialise(marks.select("marks").mapInArrow(_edges, "h long, g int").distinct(), "units-edges")
+    near = spread(edges.withColumn("near", F.lit(True)), "h", hot).hint("shuffle_hash")
+    flagged = add_salt(met, "h", hot, F.struct("id", "pos")).join(near, ["h", "g", "__salt"], "left").withColumn("near", F.coalesce("near", F.lit(False)))
+    marks = flagged.filter("later or near").groupBy("id", "th").agg(F.collect_set(F.struct("pos", "size", "own", "keep_id", "later", "near")).alias("marks"))
+    held = materialise(null_safe(texts, marks.hint("shuffle_hash"), ["id", "th"], "inner").select("id", "th", "text", "marks"), "units-held")
+    beside = materialise(held.mapInArrow(_beside, "id long, th long, pos int, h long, g int, open boolean"), "units-beside")
+    more, _ = _met(beside.withColumn("size", F.lit(WINDOW)), "beside", "open")
+    mark = F.struct("pos", "size", "own", "keep_id")
+    more = more.filter("later").groupBy("id", "th").agg(F.collect_set(mark).alias("more"))
+    held = null_safe(held, more.hint("shuffle_hash"), ["id", "th"], "left")
+    first = F.transform(F.filter("marks", lambda m: m["later"]), lambda m: F.struct(m["pos"].alias("pos"), m["size"].alias("size"), m["own"].alias("own"), m["keep_id"].alias("keep_id")))
+    held = held.select("id", "th", "text", F.when(F.col("more").isNull(), first).otherwise(F.concat(first, "more")).alias("marks")).filter("size(marks) > 0")
+    return held.mapInArrow(_spans, "id long, text_hash long, start long, end long, n_words long, keep_id long")
+
+
+def _met(units: DataFrame, label: str, only: str = "true") -> tuple[DataFrame, list]:
+    """Units (those with `only`) whose hash occurs again, with own, keep_id and later (not the earliest occurrence); hot hashes."""
     rank = F.struct(F.col("id").isNull().alias("none"), "id", "th", "pos")
-    seen = each.groupBy("h", "g").agg(F.count(F.lit(1)).alias("n"), F.min(rank).alias("first")).filter("n > 1")
-    seen = materialise(seen.select("h", "g", "n", F.col("first.id").alias("first_id"), F.col("first.th").alias("first_th"), F.col("first.pos").alias("first_pos")), "units-shared")
+    seen = units.groupBy("h", "g").agg(F.count(F.lit(1)).alias("n"), F.min(rank).alias("first"), F.max(F.expr(only)).alias("of_use")).filter("n > 1 and of_use")
+    seen = materialise(seen.select("h", "g", "n", F.col("first.id").alias("first_id"), F.col("first.th").alias("first_th"), F.col("first.pos").alias("first_pos")), f"{label}-shared")
     hot = hot_keys(seen, "h", "n")
-    found = add_salt(each, "h", hot, F.struct("id", "pos")).join(spread(seen.drop("n"), "h", hot).hint("shuffle_hash"), ["h", "g", "__salt"])
+    found = add_salt(units.filter(only), "h", hot, F.struct("id", "pos")).join(spread(seen.drop("n"), "h", hot).hint("shuffle_hash"), ["h", "g", "__salt"]).drop("__salt")
     here = F.col("id").eqNullSafe(F.col("first_id")) & (F.col("th") == F.col("first_th"))
-    mark = F.struct("pos", "size", F.when(here, F.col("first_pos") + F.col("size")).otherwise(0).alias("own"), F.col("first_id").alias("keep_id"))
-    marks = found.filter(~(here & (F.col("pos") == F.col("first_pos")))).groupBy("id", "th").agg(F.collect_set(mark).alias("marks"))
-    marks = materialise(marks, "units-marked")
-    held = null_safe(texts, marks.hint("shuffle_hash"), ["id", "th"], "inner").select("id", "th", "text", "marks")
-    return held.mapInArrow(_spans, "id long, text_hash long, start long, end long, n_words long, keep_id long")
+    own = F.when(here, F.col("first_pos") + F.col("size")).otherwise(0)
+    found = found.withColumn("own", own).withColumn("later", ~(here & (F.col("pos") == F.col("first_pos")))).withColumnRenamed("first_id", "keep_id")
+    return found.drop("first_th", "first_pos"), hot
 
 
 def remaining_text(text, spans):

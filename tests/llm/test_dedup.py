@@ -292,6 +292,42 @@ def test_every_passage_of_fifty_words_is_found(spark):
     assert {i for i, n in longest.items() if n > substring_dedup.WINDOW} <= found <= set(longest)
 
 
+def repeats_brute(rows, window=substring_dedup.WINDOW):
+    """Words (id, place) of windows that occurred before, by (id, place)."""
+    seen, gone = set(), set()
+    for i, t in sorted(rows):
+        words = t.lower().split()
+        for k in range(len(words) - window + 1):
+            w = tuple(words[k : k + window])
+            if w in seen:
+                gone |= {(i, k + j) for j in range(window)}
+            seen.add(w)
+    return gone
+
+
+def removed_words(rows, spans):
+    texts, gone = dict(rows), set()
+    for r in spans:
+        first = len(texts[r["id"]][: r["start"]].split())
+        gone |= {(r["id"], first + j) for j in range(len(texts[r["id"]][r["start"] : r["end"]].split()))}
+    return gone
+
+
+def test_whole_repeats_go(spark):
+    """Passages of 48 words or more within longer lines lose every word that repeats, also if a third text has only a part of them."""
+    rng = random.Random(12)
+    sources = [passage(rng, n) for n in (48, 50, 51, 55, 60, 64, 90, 120, 200) for _ in range(6)]
+    rows = []
+    for k in range(160):
+        part = rng.choice(sources).split()
+        if len(part) > 100 and rng.random() < 0.5:  # a piece of a longer passage
+            at = rng.randrange(len(part) - 60)
+            part = part[at : at + rng.randrange(48, 61)]
+        rows.append((k, " ".join([passage(rng, rng.randrange(5, 40)), *part, passage(rng, rng.randrange(5, 40)), rng.choice(sources), passage(rng, rng.randrange(5, 40))])))
+    got = removed_words(rows, substring_dedup.substring_dedup(docs(spark, rows)).collect())
+    assert got == repeats_brute(rows)
+
+
 def test_hashes_of_windows():
     words = [f"w{k % 50}".encode() for k in range(500)]
     at, h, g = substring_dedup.windows(words)
