@@ -17,7 +17,8 @@ Components come from alternating large-star and small-star rounds over tables in
 
 More recall: 64 bits within 3 find few copies below 0.95 in similarity (measured: 13 % of pairs at 0.80 to 0.85, 40 % at 0.90 to
 0.95). With `seeds` above 1 a text has that many fingerprints, from the same shingle hashes mixed with further seeds; texts are linked
-when the fingerprints of any seed are within 3 bits and all bits of all seeds differ in at most NEAR of them.
+when the fingerprints of any seed are within 3 bits and all bits of all seeds differ in at most NEAR of them. Both bounds are held
+against each pair of a key before its spanning forest is built; a node is the whole vector of fingerprints (its 64-bit hash as the name).
 
 Edge cases: null or blank texts have fingerprint zero and link like any other; repeated rows share a class; a null id is
 never the smallest; an empty table gives an empty result; only the id and text columns are read.
@@ -25,7 +26,7 @@ never the smallest; an empty table gives an empty result; only the id and text c
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -118,7 +119,7 @@ def _links(fp: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([p for p, _ in found]), np.concatenate([q for _, q in found])
 
 
-def _forest(fp: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, int]]:
+def _forest(fp: np.ndarray, pairs: Iterable[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, int]]:
     """Links from each member to the least of its component within the block."""
     root = list(range(len(fp)))
 
@@ -136,61 +137,88 @@ def _forest(fp: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[
     return [(i, r) for i in range(len(fp)) if (r := find(i)) != i]
 
 
-def group_links(fp: np.ndarray, key: int) -> list[tuple[int, int]]:
-    """Links among the fingerprints of one key, as (fingerprint, least of its component here)."""
+def _pairs(fp: np.ndarray, key: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of places of the fingerprints of one key that are within MAX_BITS."""
     start, out = divmod((key >> 32) % TAGS, 3)
-    fp = np.sort(fp)
     if len(fp) <= SPLIT:
-        pairs = [_links(fp, start)]
+        yield _links(fp, start)
     else:
-        pairs = []
         for segment in ((start + 2 + out) % 8, (start + 5) % 8, (start + 6) % 8, (start + 7) % 8):
             byte = (fp >> np.uint64(8 * segment)) & np.uint64(255)
             order = np.argsort(byte, kind="stable")
             for part in np.split(order, np.flatnonzero(np.diff(byte[order])) + 1):
                 if len(part) > 1:
                     a, b = _links(fp[part], start)
-                    pairs.append((part[a], part[b]))
-    return [(int(fp[i]), int(fp[r])) for i, r in _forest(fp, pairs)]
+                    yield part[a], part[b]
+
+
+def group_links(fp: np.ndarray, key: int) -> list[tuple[int, int]]:
+    """Links among the fingerprints of one key, as (fingerprint, least of its component here)."""
+    fp = np.sort(fp)
+    return [(int(fp[i]), int(fp[r])) for i, r in _forest(fp, _pairs(fp, key))]
 
 
-def _node_links(fps: np.ndarray, nodes: np.ndarray, key: int) -> list[tuple[int, int]]:
-    """Links among the nodes of one key: to one node of the component that their fingerprints form here."""
+def near_links(fp: np.ndarray, vectors: np.ndarray, nodes: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Links among nodes of one key: fingerprints within MAX_BITS and whole vectors within `most` bits, for each pair that is not yet linked."""
+    label = np.arange(len(fp))
+
+    def meet(i: int) -> None:
+        other = np.flatnonzero(label != label[i])
+        other = other[np.bitwise_count(fp[other] ^ fp[i]) <= MAX_BITS]
+        other = other[np.bitwise_count(vectors[other] ^ vectors[i]).sum(1, dtype=np.int64) <= most]
+        if len(other):
+            joined = np.unique(np.append(label[other], label[i]))
+            label[np.isin(label, joined)] = joined[0]
+
+    for i in range(min(len(fp), 64)):
+        meet(i)
+        if not label.any():
+            break
+    # of two nodes not linked yet, one at least is outside the largest component
+    for i in np.flatnonzero(label != np.argmax(np.bincount(label))).tolist():
+        meet(i)
+    return [(int(nodes[i]), int(nodes[r])) for i, r in enumerate(label.tolist()) if i != r]
+
+
+def _group(fps: np.ndarray, key: int) -> list[np.ndarray]:
+    """Places of the rows of one key, by components of their fingerprints within MAX_BITS; single rows left out."""
     distinct, place = np.unique(fps, return_inverse=True)
     root = np.arange(len(distinct))
     if len(distinct) > 1:
         index = {int(f): k for k, f in enumerate(distinct)}
         for f, r in group_links(distinct, key):
             root[index[f]] = index[r]
-    home: dict[int, int] = {}
-    links = []
-    for r, node in zip(root[place].tolist(), nodes.tolist(), strict=True):
-        first = home.setdefault(r, node)
-        if first != node:
-            links.append((node, first))
-    return links
+    mine = root[place]
+    order = np.argsort(mine, kind="stable")
+    return [part for part in np.split(order, np.flatnonzero(np.diff(mine[order])) + 1) if len(part) > 1]
 
 
-def _bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted (key, fp, node) rows -> links; the last key of a batch waits for the next batch."""
+def _by_key(batches: Iterator[pa.RecordBatch], of_group, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Sorted (key, fp, node[, fps]) rows -> rows of of_group(key, fp, node[, fps]); the last key of a batch waits for the next batch."""
     held: list[list[np.ndarray]] = []
 
+    def columns_of(batch: pa.RecordBatch) -> list[np.ndarray]:
+        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)]
+        if batch.num_columns > 3:
+            columns.append(batch.column(3).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(batch.num_rows, -1))
+        return columns
+
     def finish(parts: list[list[np.ndarray]]) -> pa.RecordBatch | None:
-        keys, fps, nodes = (np.concatenate([p[k] for p in parts]) for k in range(3))
+        keys, fps, *more = (np.concatenate([p[k] for p in parts]) for k in range(len(parts[0])))
         cuts = np.concatenate([[0], np.flatnonzero(np.diff(keys)) + 1, [len(keys)]])
-        links: list[tuple[int, int]] = []
+        rows: list[tuple] = []
         for g in np.flatnonzero(np.diff(cuts) > 1):
             own = slice(cuts[g], cuts[g + 1])
-            links += _node_links(fps[own].view(np.uint64), nodes[own], int(keys[cuts[g]]))
-        if not links:
+            rows += of_group(int(keys[cuts[g]]), fps[own].view(np.uint64), *(m[own] for m in more))
+        if not rows:
             return None
-        both = np.array(links, np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], ["a", "b"])
+        found = np.array(rows, np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(found[:, k].copy()) for k in range(len(names))], names)
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)]
+        columns = columns_of(batch)
         keys = columns[0]
         if held and held[0][0][0] == keys[-1]:  # one key spans the whole batch
             held.append(columns)
@@ -198,10 +226,44 @@ def _bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         cut = int(np.searchsorted(keys, keys[-1]))
         done = [*held, [c[:cut] for c in columns]]
         held = [[c[cut:] for c in columns]]
-        if (links := finish(done)) is not None:
-            yield links
-    if held and (links := finish(held)) is not None:
-        yield links
+        if (rows := finish(done)) is not None:
+            yield rows
+    if held and (rows := finish(held)) is not None:
+        yield rows
+
+
+def _bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of each key, nodes being fingerprints."""
+
+    def links(key: int, fp: np.ndarray, node: np.ndarray) -> list[tuple[int, int]]:
+        return [(int(node[k]), int(node[part[0]])) for part in _group(fp, key) for k in part[1:]]
+
+    return _by_key(batches, links, ["a", "b"])
+
+
+def _bucket_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Members of each component of fingerprints of each key, under a hash of all of them: many keys have the same."""
+
+    def members(key: int, fp: np.ndarray, node: np.ndarray) -> list[tuple[int, int, int]]:
+        rows = []
+        for part in _group(fp, key):
+            own = part[np.lexsort((node[part], fp[part]))]
+            name = xxhash.xxh3_64_intdigest(fp[own].tobytes() + node[own].tobytes())
+            name -= (name >> 63) << 64
+            rows += [(name, f, n) for f, n in zip(fp[own].view(np.int64).tolist(), node[own].tolist(), strict=True)]
+        return rows
+
+    return _by_key(batches, members, ["key", "fp", "node"])
+
+
+def _near(groups: DataFrame, vectors: DataFrame, parts: int, most: int) -> DataFrame:
+    """Links of members of groups (key, fp, node) whose vectors differ in at most `most` bits, held against each pair."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _by_key(batches, lambda key, fp, node, fps: near_links(fp, fps, node, most), ["a", "b"])
+
+    each = groups.join(vectors, "node").select("key", "fp", "node", "fps")
+    return each.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
 
 
 def _keys(prints: DataFrame) -> DataFrame:
@@ -238,41 +300,37 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, seeds: int = 1) -> DataFrame:
-    """One row per input row: id, text_hash (of the text), fp (signed), component_id (smallest id reachable).
+    """One row per input row: id, text_hash (of the text), fp (signed), component_id (smallest id reachable), root
+    (names the component, also where ids are null or repeated).
 
     width: words of a shingle; seeds: fingerprints per text (1: links are fingerprints within MAX_BITS, nothing else)."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
     prints = materialise(texts.mapInArrow(_printer(width, seeds), "id long, text_hash long, fp long, fps array<long>"), "simhash-prints")
-    classes = materialise(prints.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")), "simhash-classes")
+    # several fingerprints: a class is the whole vector, named by its hash
+    prints = prints.withColumn("node", F.xxhash64("fps") if seeds > 1 else F.col("fp"))
+    classes = materialise(prints.groupBy("node").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")), "simhash-classes")
     if seeds == 1:
-        filed = classes.select(F.lit(0).alias("seed"), "fp", F.col("fp").alias("node"))
+        filed = classes.select(F.lit(0).alias("seed"), F.col("node").alias("fp"), "node")
     else:
-        filed = prints.select(F.col("fp").alias("node"), F.posexplode("fps").alias("seed", "fp")).distinct()
-        filed = materialise(filed, "simhash-filed")
+        vectors = materialise(prints.groupBy("node").agg(F.min("fps").alias("fps")), "simhash-vectors")
+        filed = vectors.select("node", F.posexplode("fps").alias("seed", "fp"))
     rows = TAGS * filed.count()
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(rows // TASK_ROWS, MAX_TASKS), 1)
-    links = _keys(filed).repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_bucket_links, "a long, b long")
-    if seeds > 1:
-        links = _near(materialise(links.distinct(), "simhash-links"), prints, int(NEAR * 64 * seeds))
+    sorted_keys = _keys(filed).repartition(parts, "key").sortWithinPartitions("key")
+    if seeds == 1:
+        links = sorted_keys.mapInArrow(_bucket_links, "a long, b long")
+    else:
+        groups = materialise(sorted_keys.mapInArrow(_bucket_groups, "key long, fp long, node long").distinct(), "simhash-groups")
+        links = _near(groups, vectors, parts, int(NEAR * 64 * seeds))
     roots = components(links)
-    rooted = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
+    rooted = classes.join(roots, "node", "left").select("node", "least", "n", F.coalesce("root", "node").alias("root"))
     rooted = materialise(rooted, "simhash-rooted")
-    linked = rooted.filter("root != fp").select("root").distinct()
+    linked = rooted.filter("root != node").select("root").distinct()
     ends = rooted.join(linked, "root", "left_semi").groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(ends, "root", "left").select("fp", "n", F.coalesce("component_id", "least").alias("component_id"))
-    hot = hot_keys(classes, "fp", "n")
-    dealt = add_salt(prints.drop("fps"), "fp", hot, F.struct("id", "text_hash"))
-    return dealt.join(spread(named.select("fp", "component_id"), "fp", hot), ["fp", "__salt"]).select("id", "text_hash", "fp", "component_id")
-
-
-def _near(links: DataFrame, prints: DataFrame, most: int) -> DataFrame:
-    """Links whose nodes differ in at most `most` bits over all seeds; nodes are narrow and have one row each."""
-    nodes = prints.groupBy("fp").agg(F.min("fps").alias("fps"))
-    ends = links.select("a").union(links.select("b")).distinct()
-    nodes = materialise(nodes.join(ends, nodes["fp"] == ends["a"], "left_semi"), "simhash-nodes")
-    both = links.join(nodes.select(F.col("fp").alias("a"), F.col("fps").alias("x")), "a").join(nodes.select(F.col("fp").alias("b"), F.col("fps").alias("y")), "b")
-    bits = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, k: n + k)
-    return both.filter(bits <= most).select("a", "b")
+    named = rooted.join(ends, "root", "left").select("node", "root", F.coalesce("component_id", "least").alias("component_id"))
+    hot = hot_keys(classes, "node", "n")
+    dealt = add_salt(prints.drop("fps"), "node", hot, F.struct("id", "text_hash"))
+    return dealt.join(spread(named, "node", hot), ["node", "__salt"]).select("id", "text_hash", "fp", "component_id", "root")
 
 
 def op6_simhash_dedup(spark, sf_dir: str) -> DataFrame:

@@ -207,6 +207,21 @@ def test_several_fingerprints_find_more(spark):
     assert sum(r["id"] != r["component_id"] for r in alone) < 57
 
 
+def test_each_pair_of_a_key_meets_the_bound():
+    """Whatever node comes first in a key: nodes within the bound of each other are linked, a dissimilar one is not."""
+    rng = np.random.default_rng(7)
+    one, far = rng.integers(0, 1 << 63, (2, 12)).astype(np.uint64)
+    far[0] = one[0]
+    nodes = np.arange(10, 16)
+    for first in (0, 3, 5):
+        vectors = np.tile(one, (6, 1))
+        vectors[:, 1] ^= np.arange(6, dtype=np.uint64)
+        vectors[3:, 0] ^= np.uint64(1 << 63)
+        vectors[first] = far
+        links = simhash.near_links(vectors[:, 0], vectors, nodes, 90)
+        assert len(links) == 4 and {n for link in links for n in link} == set(nodes.tolist()) - {10 + first}
+
+
 @pytest.mark.parametrize("split", [4096, 16])
 def test_links_of_a_key(monkeypatch, split):
     """The chains of all 24 keys find every pair within three bits, also when a key's group is split."""
