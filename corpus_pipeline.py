@@ -34,11 +34,10 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest id of each component stays. Several fingerprints per text find copies down to a similarity of about 0.8."""
-    found = simhash_dedup(docs, seeds=SEEDS).filter(F.col("id").eqNullSafe(F.col("component_id")))
-    same = found.groupBy("id", "text_hash").agg(F.count(F.lit(1)).alias("copies"))
-    stays = same.groupBy("id").agg(F.min(F.struct("text_hash", "copies")).alias("one"))
-    stays = stays.select("id", "one.text_hash", "one.copies")
+    """One row of each component stays: the smallest id, then the smallest text hash; null ids come last. Several fingerprints per text find copies down to a similarity of about 0.8."""
+    found = simhash_dedup(docs, seeds=SEEDS).groupBy("root", "id", "text_hash").agg(F.count(F.lit(1)).alias("copies"))
+    rank = F.struct(F.col("id").isNull().alias("none"), "id", "text_hash", "copies")
+    stays = found.groupBy("root").agg(F.min(rank).alias("one")).select("one.id", "one.text_hash", "one.copies")
     return pick(docs, materialise(stays, "near-kept"))
 
 

@@ -94,3 +94,12 @@ def test_odd_documents(spark):
     assert corpus_pipeline.exact_dedup_stage(spark, docs, SF).count() == 4
     assert corpus_pipeline.near_dedup_stage(spark, docs, SF).filter("doc_id = 4").count() == 1
     assert corpus_pipeline.mixing_stage(spark, docs, SF).filter("mix_taken <= 0").count() == 0
+
+
+def test_near_dedup_of_null_and_repeated_ids(spark):
+    """Different texts stay, whether their ids are null or equal; of near copies with null ids one stays."""
+    texts = [" ".join(f"{word}{k * k}" for k in range(80)) for word in ("a", "b", "c", "d", "e")]
+    rows = [(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (None, texts[4]), (None, texts[4].upper())]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.near_dedup_stage(spark, docs, SF).collect()
+    assert sorted(r["text"].lower() for r in kept) == sorted(texts)
