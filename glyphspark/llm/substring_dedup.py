@@ -1,10 +1,10 @@
 """Substring dedup: repeated passages go, the earliest occurrence stays, original offsets are retained.
 
 Units are normalised (A-Z lower-cased, white space to one space), hashed to 96 bits and grouped globally:
-* lines of at least WINDOW words;
+* lines of at least LINE words;
 * windows of WINDOW words, wherever they stand in or across lines. Hashing each window would cost a row per word, so a text
   offers the least hash of every SPAN neighbouring windows (winnowing): two texts that share WINDOW + SPAN - 1 (48) words in
-  a row always offer a common window, and units with fewer than WINDOW words in common never meet.
+  a row always offer a common window, and windows with fewer than WINDOW words in common never meet.
 Lines alone miss passages that stand inside longer lines, so the windows are an addition to the line method.
 
 1. Units are counted per hash, pre-aggregated in each task, with the earliest occurrence by (id, position).
@@ -36,6 +36,8 @@ from pyspark.sql import functions as F
 from glyphspark.llm.common import add_salt, hot_keys, materialise, null_safe, spread
 
 WINDOW, SPAN = 32, 17
+#: Words of a line that counts as a unit; shorter ones are headings, signatures and the like.
+LINE = 8
 STEP = 128
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 WORD = re.compile(rb"[^ \t\n\x0b\x0c\r]+")
@@ -80,11 +82,11 @@ def windows(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def lines(text: bytes) -> list[tuple[int, int, bytes]]:
-    """Lines of WINDOW words or more: first word, word after the last, normalised line."""
+    """Lines of LINE words or more: first word, word after the last, normalised line."""
     found, first = [], 0
     for line in text.split(b"\n"):
         words = line.split()
-        if len(words) >= WINDOW:
+        if len(words) >= LINE:
             found.append((first, first + len(words), b" ".join(words)))
         first += len(words)
     return found

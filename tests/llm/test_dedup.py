@@ -343,6 +343,16 @@ def test_whole_repeats_go(spark):
     assert got == repeats_brute(rows)
 
 
+def test_short_lines_that_repeat_go(spark):
+    """Lines of eight words or more go where they repeat, between texts of their own; shorter ones stay."""
+    rng = random.Random(13)
+    long, short = passage(rng, 8), passage(rng, 7)
+    rows = [(k, "\n".join([passage(rng, 20), long, passage(rng, 15), short, passage(rng, 15)])) for k in range(30)]
+    got = substring_dedup.substring_dedup(docs(spark, rows)).collect()
+    texts = dict(rows)
+    assert sorted((r["id"], texts[r["id"]][r["start"] : r["end"]], r["n_words"], r["keep_id"]) for r in got) == [(k, long, 8, 0) for k in range(1, 30)]
+
+
 def test_hashes_of_windows():
     words = [f"w{k % 50}".encode() for k in range(500)]
     at, h, g = substring_dedup.windows(words)
