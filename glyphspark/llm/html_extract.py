@@ -175,7 +175,9 @@ def blocks_of(page: str) -> list[Block]:
 
 
 def classify(blocks: list[Block]) -> None:
-    """Both passes; labels end as good or bad."""
+    """Both passes; labels end as good or bad. Without an article and any known stop word the page is in an unknown language: long
+    blocks with few links are near."""
+    unknown = not any(b.article or w.strip("\"'.,;:!?()[]%*#&$|").lower() in STOP_WORDS for b in blocks for w in b.text.split())
     for b in blocks:
         density = b.links / max(1, len(b.text))
         words = [w.strip("\"'.,;:!?()[]%*#&$|").lower() for w in b.text.split()]
@@ -189,7 +191,7 @@ def classify(blocks: list[Block]) -> None:
         elif stops >= STOP_HIGH:
             b.label = "good" if len(b.text) > LENGTH_HIGH else "near"
         else:
-            b.label = "near" if stops >= STOP_LOW else "bad"
+            b.label = "near" if stops >= STOP_LOW or unknown else "bad"
     nothing_known = all(b.label == "short" for b in blocks)
     for open_label in ("near", "short"):
         first = [b.label for b in blocks]

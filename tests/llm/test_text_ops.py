@@ -179,6 +179,13 @@ def test_html_without_article():
     assert html_extract.main_text(page).split("\n") == ["On the hill", long, "Short one.", long]
 
 
+def test_html_in_an_unknown_language():
+    """Without article and stop words, long blocks of few links stay."""
+    long = "Старый дом стоял на холме над рекой, и каждый вечер в его окнах горел свет, который было видно далеко за городом. " * 2
+    page = f"<body><div><a href=1>Главная</a> <a href=2>Новости</a></div><div>{long}</div><div>{long}</div></body>"
+    assert html_extract.main_text(page).split("\n") == [long.strip()] * 2
+
+
 @pytest.mark.parametrize("page", [None, "", "<", "<!--", "<p", "<script>", "</div></p>", "<a " + "x" * 5000, "<div " * 2000, "\x00", "<p>" * 3000 + "x"])
 def test_html_odd_pages(page):
     assert isinstance(html_extract.main_text(page), str)
