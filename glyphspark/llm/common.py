@@ -45,6 +45,11 @@ def materialise(df: DataFrame, label: str, bucket_by: str | None = None) -> Data
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def type_of(df: DataFrame, column: str) -> str:
+    """The type of a column as DDL, so that ids go through Arrow functions as what they are."""
+    return df.select(column).schema[0].dataType.simpleString()
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z only; other letters stay."""
     return F.translate(c, string.ascii_uppercase, string.ascii_lowercase)
