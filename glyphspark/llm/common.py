@@ -7,18 +7,22 @@ import shutil
 import string
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The white space that the contracts name: space, tab, \n, \v, \f, \r.
 SPACE = " \t\n\x0b\x0c\r"
-#: A key is hot when it holds more than this share of all rows, so at most HOT_MAX keys are hot.
-HOT_MAX = 1000
-HOT_FLOOR = 200
-SALTS = 256
+#: A key is hot when it holds more rows than HOT_ROWS, or than 1/HOT_MAX of all where that is more: rows of one key that a task gets, and hot keys
+#: that there can be at most (a row of some 20 bytes each).
+HOT_ROWS = 1000
+HOT_MAX = 100_000
 
 _own_root: list[str] = []
+_scratch: list[list[str]] = []
+_written: dict[str, set[str]] = {}
 
 
 def work_root(spark: SparkSession) -> str:
@@ -35,14 +39,47 @@ def work_root(spark: SparkSession) -> str:
     return _own_root[0]
 
 
-def materialise(df: DataFrame, label: str, bucket_by: str | None = None) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: cuts the lineage and survives lost executors."""
-    path = f"{work_root(df.sparkSession)}/glyphspark/{label}-{uuid.uuid4().hex}"
+def materialise(df: DataFrame, label: str, bucket_by: str | None = None, lasting: bool = False) -> DataFrame:
+    """Write df as Parquet to the shared folder and read it back: cuts the lineage and survives lost executors.
+
+    The tables of an application stand in one folder, which goes when the driver ends; `scratch` drops them earlier. lasting: it outlives
+    the innermost scratch, not those around it."""
+    spark = df.sparkSession
+    top = f"{work_root(spark)}/glyphspark/{spark.sparkContext.applicationId}"
+    if top not in _written:
+        _written[top] = set()
+        atexit.register(_remove, spark, top)
+    path = f"{top}/{label}-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     if bucket_by:
         writer = writer.partitionBy(bucket_by)
     writer.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    around = _scratch[:-1] if lasting else _scratch
+    if around:
+        around[-1].append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder through Spark's file systems; best effort, as the session may have ended."""
+    try:
+        context = spark.sparkContext
+        target = context._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
+    except Exception:  # the JVM is gone
+        if path.startswith(("/", "file:")):
+            shutil.rmtree("/" + path.removeprefix("file:").lstrip("/"), ignore_errors=True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that are materialised inside are deleted at the end: whatever is to last has to be written before that."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for path in _scratch.pop():
+            _remove(spark, path)
 
 
 def type_of(df: DataFrame, column: str) -> str:
@@ -65,26 +102,31 @@ def null_safe(left: DataFrame, right: DataFrame, on: list[str], how: str) -> Dat
     return left.join(renamed, cond, how).drop(*[f"__r_{c}" for c in on]) if how not in ("left_semi", "left_anti") else left.join(renamed, cond, how)
 
 
-def hot_keys(counts: DataFrame, key: str, n: str) -> list:
-    """Keys that hold over 1/HOT_MAX of all rows: fewer than HOT_MAX of them by construction, whatever the input."""
-    total = counts.agg(F.sum(n)).first()[0] or 0
-    floor = max(HOT_FLOOR, total // HOT_MAX)
-    return [r[0] for r in counts.filter(F.col(n) > floor).select(key).limit(HOT_MAX).collect()]
+def hot_keys(counts: DataFrame, key: str, n: str) -> DataFrame | None:
+    """Hot keys and over how many salts their rows go, by their counts: (__hot, __salts), or None without any.
+
+    Each holds over 1/HOT_MAX of all rows, so there are fewer than HOT_MAX whatever the input; they can be broadcast."""
+    limit = max(HOT_ROWS, (counts.agg(F.sum(n)).first()[0] or 0) // HOT_MAX)
+    hot = counts.filter(F.col(n) > limit).groupBy(F.col(key).alias("__hot")).agg(F.ceil(F.sum(n) / limit).cast("int").alias("__salts"))
+    hot = materialise(hot, "hot")
+    return None if hot.isEmpty() else hot
 
 
-def add_salt(df: DataFrame, key: str, hot: list, by: Column) -> DataFrame:
-    """The many-rows side: rows of hot keys are dealt over SALTS values of __salt, others have 0."""
-    if not hot:
+def add_salt(df: DataFrame, key: str, hot: DataFrame | None, by: Column | None = None) -> DataFrame:
+    """The many-rows side: rows of hot keys are dealt over their salts (__salt), others have 0. by: what a row is dealt by, else its place."""
+    if hot is None:
         return df.withColumn("__salt", F.lit(0))
-    return df.withColumn("__salt", F.when(F.col(key).isin(hot), F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).otherwise(F.lit(0)))
+    placed = df.withColumn("__dealt", F.xxhash64(F.monotonically_increasing_id() if by is None else by))
+    salt = F.when(F.col("__salts").isNull(), 0).otherwise(F.pmod("__dealt", "__salts")).cast("int")
+    return placed.join(F.broadcast(hot), F.col(key) == F.col("__hot"), "left").withColumn("__salt", salt).drop("__hot", "__salts", "__dealt")
 
 
-def spread(df: DataFrame, key: str, hot: list) -> DataFrame:
+def spread(df: DataFrame, key: str, hot: DataFrame | None) -> DataFrame:
     """The one-row-per-key side: rows of hot keys are repeated for every value of __salt."""
-    if not hot:
+    if hot is None:
         return df.withColumn("__salt", F.lit(0))
-    salts = F.when(F.col(key).isin(hot), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    return df.withColumn("__salt", F.explode(salts))
+    salts = F.sequence(F.lit(0), F.coalesce("__salts", F.lit(1)) - 1)
+    return df.join(F.broadcast(hot), F.col(key) == F.col("__hot"), "left").withColumn("__salt", F.explode(salts)).drop("__hot", "__salts")
 
 
 def pick(docs: DataFrame, chosen: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -4,12 +4,14 @@ Words are runs of letters, digits and non-ASCII characters after A-Z are lower-c
 a test item; an item with fewer words, but not none, is one window. A document word inside any occurrence of a window is
 hit. Candidate windows (all words in the test vocabulary, rolling hash in the set) are verified word by word.
 
-The test set is broadcast in blocks of at most BLOCK_BYTES of text: its size is measured first, a larger set is scanned in
-several passes whose hits are then merged per document. Documents are never shuffled in a single pass.
+The test set is broadcast in blocks of some BLOCK_BYTES of text (one longer item is a block of its own): its size is measured first, a
+larger set is scanned in several passes, one after the other: each pass writes its hits and frees its block before the next is built,
+and the hits are merged per document. Documents are never shuffled in a single pass.
 
 Edge cases: null text has no words and is never contaminated; an item without words has no window; repeated items count
 once by item_id (a null item_id shows as "null"); an empty table on either side gives zero hits; repeated rows are judged
-on their own in a single pass and alike in several; only the named columns are read, so extra columns never clash.
+on their own in a single pass and alike in several; ids keep their type; a very long text is
+scanned whole in one task; only the named columns are read, so extra columns never clash.
 """
 
 from __future__ import annotations
@@ -19,10 +21,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from glyphspark.llm.common import null_safe
+from glyphspark.llm.common import materialise, null_safe, type_of
 
 #: Text of test items that one pass holds (the broadcast is some ten times as large in memory).
 BLOCK_BYTES = 8_000_000
@@ -32,7 +36,7 @@ WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 #: Rows handled at once in Python.
 STEP = 128
 
-SCHEMA = "id long, text_hash long, n_words long, spans array<struct<first:int,end:int,start_char:int,end_char:int>>, items array<string>"
+SCHEMA = "text_hash long, n_words long, spans array<struct<first:int,end:int,start_char:int,end_char:int>>, items array<string>"
 ARROW = pa.schema([("id", pa.int64()), ("text_hash", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32()), ("start_char", pa.int32()), ("end_char", pa.int32())]))), ("items", pa.list_(pa.string()))])
 
 
@@ -101,8 +105,10 @@ def _chars(text: bytes, spans: list[tuple[int, int]]) -> list[dict]:
     return out
 
 
-def _scan(docs: DataFrame, items: list[tuple[object, str | None]], n: int) -> DataFrame:
+def _scan(docs: DataFrame, items: list[tuple[object, str | None]], n: int) -> tuple[DataFrame, Broadcast]:
     shared = docs.sparkSession.sparkContext.broadcast(Windows(items, n))
+    id_type = type_of(docs, "id")
+    fields = ARROW.set(0, pa.field("id", to_arrow_type(docs.schema["id"].dataType)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows = shared.value
@@ -113,23 +119,27 @@ def _scan(docs: DataFrame, items: list[tuple[object, str | None]], n: int) -> Da
                     words = words_of(text)
                     spans, found = windows.scan(words) if words else ([], set())
                     rows.append({"id": i, "text_hash": h, "n_words": len(words), "spans": _chars(text, spans) if spans else [], "items": sorted(found)})
-                yield pa.RecordBatch.from_pylist(rows, ARROW)
+                yield pa.RecordBatch.from_pylist(rows, fields)
 
-    return docs.mapInArrow(run, SCHEMA)
+    return docs.mapInArrow(run, f"id {id_type}, {SCHEMA}"), shared
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 13, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per document: id, text_hash, n_words, spans (hit words and their code points in the text), items, n_hit, contaminated."""
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
     items = benchmark.select("item_id", "text").withColumn("bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))
     parts = max(1, -(-(items.agg(F.sum("bytes")).first()[0] or 0) // block_bytes))
     block = F.pmod(F.xxhash64("item_id", "text"), F.lit(parts))
-    passes = [_scan(texts, [(r[0], r[1]) for r in items.filter(block == k).select("item_id", "text").collect()], n) for k in range(parts)]
-    out = passes[0]
-    if parts > 1:
-        every = passes[0]
-        for more in passes[1:]:
-            every = every.unionByName(more)
+    held = lambda k: [(r[0], r[1]) for r in items.filter(block == k).select("item_id", "text").collect()]  # noqa: E731  block_bytes of text
+    if parts == 1:
+        out, _ = _scan(texts, held(0), n)
+    else:
+        every = None
+        for k in range(parts):
+            found, shared = _scan(texts, held(k), n)
+            found = materialise(found if k == 0 else found.filter(F.size("spans") > 0), "decontaminate-hits")
+            shared.destroy()
+            every = found if every is None else every.unionByName(found)
         every = every.groupBy("id", "text_hash").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_set("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
         out = null_safe(texts.select("id", "text_hash"), every.withColumn("spans", _merged(F.array_sort("spans"))), ["id", "text_hash"], "inner")
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["first"])

@@ -12,7 +12,8 @@ documents go, except in the largest id that holds it.
 
 Edge cases: an empty table gives an empty result; a row with a null id counts as one document that never holds the
 largest id unless no other document holds the line; repeated rows of one id count as one document and each gets the same
-result; only the id and text columns are read, so extra columns never clash.
+result; a very long text costs memory in proportion to its own length in one task, as each of its lines is a row; ids keep their
+type; only the id and text columns are read, so extra columns never clash.
 """
 
 from __future__ import annotations
@@ -52,12 +53,12 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         seen = seen.join(surplus, ["h", "g"], "left").withColumn("n", F.col("n") - F.coalesce("more", F.lit(0))).filter(F.col("n") >= min_docs)
         seen = materialise(seen, "lines-common")
 
-    hot = hot_keys(seen, "h", "n") if not seen.isEmpty() else []
+    hot = hot_keys(seen, "h", "n")
     keyed = F.filter(F.transform(_lines(), lambda line, i: F.struct(_key(line).alias("key"), i.alias("pos"))), lambda x: long_enough(x["key"]))
     hashed = F.transform(keyed, lambda x: F.struct(_hash(x["key"]).alias("k"), x["pos"].alias("pos")))
     places = texts.withColumn("th", F.xxhash64("text")).select("id", "th", F.explode(hashed).alias("x")).select("id", "th", "x.k.h", "x.k.g", "x.pos")
     common = spread(seen.select("h", "g", "last"), "h", hot)
-    found = add_salt(places, "h", hot, F.struct("id", "pos")).join(common, ["h", "g", "__salt"])
+    found = add_salt(places, "h", hot).join(common, ["h", "g", "__salt"])
     drops = found.filter(~F.col("id").eqNullSafe(F.col("last"))).groupBy("id", "th").agg(F.collect_set("pos").alias("dropped"))
     drops = materialise(drops, "lines-dropped")
 

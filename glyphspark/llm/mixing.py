@@ -8,8 +8,9 @@ Taking: complete epochs come first, floor(target / size) times every document of
 to documents in the order of their keys -ln(u) / quality weight (u: a hash of the seed and the id), whose sizes are
 prefix-summed to the budget; the document where the budget ends is taken in part, so a source meets its target to a word.
 
-Scale: no task holds a source. Keys are ranges-bucketed; sizes are pre-aggregated per (source, bucket) and the few sums are
-prefix-summed; only the rows of the one bucket where a budget ends are sorted. Per-source figures reach the rows by a
+Scale: no task holds a source's documents. Keys fall into ranges of their logarithm, which are even for any mixture of weights (see
+PER_DOUBLING); sizes are pre-aggregated per (source, range) and these sums, some ten thousand at most per source, are
+prefix-summed; only the rows of the one range where a budget ends are sorted. Targets are worked out over one row per source. Per-source figures reach the rows by a
 broadcast below MAX_BROADCAST sources and by a shuffle join, which Spark splits where skewed, beyond.
 
 Edge cases: null or blank texts have size 0 and are never taken; a source without words has target 0; a null source is a
@@ -26,8 +27,9 @@ from glyphspark.llm.common import materialise, null_safe
 
 #: Base weights of the sources in code-point order, repeating.
 WEIGHTS = (5, 2, 1)
-#: Ranges of sampling keys per source.
-BUCKETS = 1024
+#: Ranges of sampling keys, by their logarithm, in each doubling of the key. Keys are exponential with the document's weight as rate, so
+#: whatever the weights no range holds more than 0.26 / PER_DOUBLING of a source's documents.
+PER_DOUBLING = 1024
 #: Sources whose figures are broadcast at most (a row is some 100 bytes).
 MAX_BROADCAST = 50_000
 
@@ -61,14 +63,13 @@ def uniform(seed: str, id_: Column) -> Column:
     return (bits.cast("double") + 0.5) / float(1 << 52)
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: DataFrame | None = None, seed: str = "mix", max_epochs: int = 3, buckets: int = BUCKETS) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: DataFrame | None = None, seed: str = "mix", max_epochs: int = 3, per_doubling: int = PER_DOUBLING) -> DataFrame:
     """One row per input row: id, text_hash (of the text), source, size, source_size, target, taken. weights: (id, weight), one row per id; missing, null or <= 0 count as 1."""
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"))
     rows = rows.withColumn("weight", F.lit(1.0)) if weights is None else rows.join(weights.select("id", "weight"), "id", "left")
     rows = rows.withColumn("weight", F.when(F.col("weight") > 0, F.col("weight").cast("double")).otherwise(1.0))
     key = -F.log(uniform(seed, F.col("id"))) / F.col("weight")
-    # a monotone image of the key in [0, 1) deals the keys over ranges
-    rows = rows.withColumn("key", key).withColumn("bucket", F.least(F.floor((1 - F.exp(-F.col("key"))) * buckets), F.lit(buckets - 1)).cast("int"))
+    rows = rows.withColumn("key", key).withColumn("bucket", F.floor(F.log2("key") * per_doubling).cast("int"))
     rows = materialise(rows.drop("weight"), "mix-rows")
 
     sums = materialise(rows.groupBy("source", "bucket").agg(F.sum("size").alias("words")), "mix-sums")
@@ -82,7 +83,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     few = plan.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
     dealt = null_safe(rows, F.broadcast(plan) if few else plan, ["source"], "inner")
-    dealt = dealt.withColumn("end_bucket", F.coalesce("end.bucket", F.lit(buckets)))
+    dealt = dealt.withColumn("end_bucket", F.coalesce("end.bucket", F.lit((1 << 31) - 1)))
     whole = dealt.filter("bucket != end_bucket").withColumn("extra", F.when(F.col("bucket") < F.col("end_bucket"), F.col("size")).otherwise(0))
     order = Window.partitionBy("source").orderBy("key", "id", "size", "text_hash").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     last = dealt.filter("bucket = end_bucket").withColumn("upto", F.sum("size").over(order) + F.col("end.before"))

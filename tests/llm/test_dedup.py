@@ -3,14 +3,15 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from glyphspark.llm import exact_dedup, line_dedup, simhash, substring_dedup
-from glyphspark.llm.common import hot_keys
+from glyphspark.llm import common, exact_dedup, line_dedup, simhash, substring_dedup
+from glyphspark.llm.common import add_salt, hot_keys, spread
 
 SCHEMA = "doc_id long, text string, source string, n_dropped string, kept string, id string, key string"
 
@@ -25,6 +26,12 @@ def odd_rows(rng):
     return [*rows, (100, None), (101, ""), (102, " \t\n\x0b\x0c\r"), (103, "word " * 30_000), (104, "word " * 30_000 + " "), (105, "wo rd"), (106, "word"), (107, " word")]
 
 
+@pytest.fixture
+def few_rows(monkeypatch):
+    """Keys of over 50 rows are hot."""
+    monkeypatch.setattr(common, "HOT_ROWS", 50)
+
+
 # exact
 
 
@@ -50,7 +57,7 @@ def test_exact_dedup(spark, bits):
         assert r["kept"] == (r["id"] == r["keep_id"])
 
 
-def test_exact_dedup_hot_key_and_repeats(spark):
+def test_exact_dedup_hot_key_and_repeats(spark, few_rows):
     rows = [(k, "the same text") for k in range(600)] + [(k, f"text {k}") for k in range(600, 700)] + [(650, "text 650"), (650, "text 650"), (None, "lone"), (None, "the same text")]
     got = exact_dedup.exact_dedup(docs(spark, rows)).collect()
     assert len(got) == len(rows)
@@ -60,7 +67,7 @@ def test_exact_dedup_hot_key_and_repeats(spark):
     assert sum(r["kept"] for r in got if r["id"] == 650) == 1 and {r["copies"] for r in got if r["id"] == 650} == {3}
 
 
-def test_exact_dedup_hot_collisions(spark):
+def test_exact_dedup_hot_collisions(spark, few_rows):
     """Different texts under one hot hash, dealt over salts."""
     rows = [(k, f"text {k % 7}") for k in range(700)]
     got = exact_dedup.exact_dedup(docs(spark, rows), hash_bits=1).collect()
@@ -81,7 +88,19 @@ def test_directory():
     for prefix, n in counts.items():
         load[slots[prefix]] = load.get(slots[prefix], 0) + n
     assert all(n <= 12 for b, n in load.items() if b != slots[7])
-    assert exact_dedup.build_directory({}, 12) == (0, [0])
+    assert exact_dedup.build_directory({}, 12, 4) == (0, [0])
+
+
+def test_buckets_own_the_work(spark, tmp_path):
+    """A bucket's rows, and no others, are in its owner's partition; no owner gets more than HOT_ROWS rows of one hash."""
+    rows = spark.range(6000).select(F.when(F.col("id") % 2 == 0, F.lit(7)).otherwise(F.xxhash64("id")).alias("key"), "id")
+    directory = exact_dedup.open_directory(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")), 100)
+    assert directory.buckets >= 30 and directory.pages == 3 == -(-3000 // common.HOT_ROWS)
+    routed = directory.route(rows).withColumn("at", F.spark_partition_id())
+    assert routed.filter("at != owner").count() == 0
+    assert routed.groupBy("owner", "key").count().agg(F.max("count")).first()[0] <= 1.2 * common.HOT_ROWS
+    ranges = routed.filter(f"owner < {directory.buckets}").select("owner", F.shiftrightunsigned("key", 1).alias("k")).groupBy("owner").agg(F.min("k").alias("a"), F.max("k").alias("b")).orderBy("owner").collect()
+    assert all(x["b"] < y["a"] for x, y in zip(ranges, ranges[1:], strict=False))
 
 
 # lines
@@ -124,16 +143,28 @@ def test_line_dedup_repeated_and_null_ids(spark):
     assert line_dedup.line_dedup(docs(spark, [])).count() == 0
 
 
-def test_line_dedup_hot_line(spark):
+def test_line_dedup_hot_line(spark, few_rows):
     line = "the one line that every document holds"
     rows = [(k, f"{line}\nand a line of number {k} alone") for k in range(500)]
     got = line_dedup.line_dedup(docs(spark, rows)).collect()
     assert sum(len(r["dropped"]) for r in got) == 499
 
 
-def test_hot_keys_are_few(spark):
+def test_hot_keys_by_rows(spark):
     counts = spark.range(5000).select((F.col("id") % 7).alias("k"), F.lit(1).alias("n")).groupBy("k").agg(F.sum("n").alias("n"))
-    assert len(hot_keys(counts, "k", "n")) == 7
+    assert hot_keys(counts, "k", "n") is None
+    counts = counts.withColumn("n", F.col("n") * 10)
+    assert {(r["__hot"], r["__salts"]) for r in hot_keys(counts, "k", "n").collect()} == {(k, 8) for k in range(7)}
+
+
+def test_salted_rows_meet_their_record_once(spark):
+    """Rows of a hot key meet their one record under every salt; no salt has more than its share."""
+    rows = spark.range(9000).select((F.col("id") % 3).alias("k"), F.lit(None).cast("long").alias("id"))
+    one = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    hot = hot_keys(one, "k", "n")
+    dealt = add_salt(rows, "k", hot)
+    assert dealt.groupBy("k", "__salt").count().agg(F.max("count")).first()[0] <= 1.2 * common.HOT_ROWS
+    assert dealt.join(spread(one, "k", hot), ["k", "__salt"]).count() == 9000
 
 
 # near
@@ -188,23 +219,69 @@ def test_simhash_repeats_and_nulls(spark):
     assert sorted((str(r["id"]), str(r["component_id"])) for r in got) == [("3", "3"), ("3", "3"), ("None", "3"), ("None", "None")]
 
 
-def test_several_fingerprints_find_more(spark):
-    """Copies with a word changed are grouped; unrelated texts are not."""
-    rng = random.Random(9)
-    rows, family = [], {}
-    for f in range(30):
-        base = [f"w{rng.randrange(5000)}" for _ in range(300)]
-        for _ in range(3):
-            words = base[:]
-            for k in rng.sample(range(300), 1):
-                words[k] = f"n{rng.randrange(10**6)}"
-            family[len(rows)] = f
+def near_roots(texts):
+    """Components by comparing all vectors of near_prints with all."""
+    prints = [simhash.near_prints((t or "").encode()) for t in texts]
+    find, confirm = (np.array([p[k] for p in prints], np.uint64) for k in (0, 1))
+    most, root = int(simhash.NEAR * 64 * simhash.SEEDS), list(range(len(texts)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        alike = (np.bitwise_count(find ^ find[i]).min(1) <= 3) & (np.bitwise_count(confirm ^ confirm[i]).sum(1, dtype=int) <= most)
+        for j in np.flatnonzero(alike):
+            x, y = top(i), top(int(j))
+            root[max(x, y)] = min(x, y)
+    return [top(i) for i in range(len(texts))]
+
+
+def edited(rng, words, n):
+    words = words[:]
+    for k in rng.sample(range(len(words)), n):
+        words[k] = f"n{rng.randrange(10**6)}"
+    return words
+
+
+def jaccard(a, b, width=5):
+    x, y = ({tuple(w[k : k + width]) for k in range(len(w) - width + 1)} for w in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def test_recall_of_near_copies_by_similarity():
+    """Direct links of edited copies: 0.9 and more of those at 0.8 and above, next to none below 0.7."""
+    rng, met = random.Random(9), {}
+    most = int(simhash.NEAR * 64 * simhash.SEEDS)
+    for _ in range(700):
+        base = [f"w{rng.randrange(3000)}" for _ in range(rng.choice([120, 250, 400]))]
+        copy = edited(rng, base, rng.randrange(1, len(base) // 14))
+        (fa, ca), (fb, cb) = (simhash.near_prints(" ".join(w).encode()) for w in (base, copy))
+        far = lambda x, y: np.bitwise_count(np.array(x, np.uint64) ^ np.array(y, np.uint64))
+        met.setdefault(int(jaccard(base, copy) * 20 + 1e-9) / 20, []).append(far(fa, fb).min() <= 3 and far(ca, cb).sum() <= most)
+    share = {band: sum(x) / len(x) for band, x in met.items() if len(x) >= 20}
+    assert all(share[band] >= 0.9 for band in share if band >= 0.8) and {0.8, 0.85, 0.9} <= share.keys()
+    assert all(share[band] <= 0.1 for band in share if band < 0.7)
+
+
+def test_near_copies_against_brute_force(spark, few_rows):
+    """No link is lost or added: chains of copies of copies, copies by the hundred, odd texts, repeated and null ids."""
+    rng = random.Random(10)
+    rows = []
+    for _ in range(25):
+        words = [f"w{rng.randrange(3000)}" for _ in range(rng.randrange(40, 300))]
+        for _ in range(rng.randrange(1, 6)):
             rows.append((len(rows), " ".join(words)))
-    got = {r["id"]: r["component_id"] for r in simhash.simhash_dedup(docs(spark, rows), seeds=12).collect()}
-    assert all(family[i] == family[c] for i, c in got.items())
-    assert sum(i != c for i, c in got.items()) >= 57
-    alone = simhash.simhash_dedup(docs(spark, rows)).collect()
-    assert sum(r["id"] != r["component_id"] for r in alone) < 57
+            words = edited(rng, words, max(1, len(words) // 45))
+    base = [f"v{rng.randrange(3000)}" for _ in range(200)]
+    rows += [(1000 + k, " ".join(edited(rng, base, rng.randrange(6)))) for k in range(150)]
+    rows += [(2000, None), (2001, " "), (2002, "one"), (2003, "ONE"), (2004, "w " * 50_000), (2005, "w " * 50_000 + "x")]
+    got = {r["id"]: r["component_id"] for r in simhash.near_copies(docs(spark, rows)).collect()}
+    assert got == {i: rows[w][0] for (i, _), w in zip(rows, near_roots([t for _, t in rows]), strict=True)}
+    assert simhash.near_copies(docs(spark, [])).count() == 0
+    odd = simhash.near_copies(docs(spark, [(3, rows[0][1]), (3, rows[0][1]), (None, rows[0][1].upper()), (None, "alone here now")])).collect()
+    assert sorted((str(r["id"]), str(r["component_id"])) for r in odd) == [("3", "3"), ("3", "3"), ("None", "3"), ("None", "None")]
 
 
 def test_each_pair_of_a_key_meets_the_bound():
@@ -212,55 +289,55 @@ def test_each_pair_of_a_key_meets_the_bound():
     rng = np.random.default_rng(7)
     one, far = rng.integers(0, 1 << 63, (2, 12)).astype(np.uint64)
     far[0] = one[0]
-    nodes = np.arange(10, 16)
     for first in (0, 3, 5):
         vectors = np.tile(one, (6, 1))
         vectors[:, 1] ^= np.arange(6, dtype=np.uint64)
         vectors[3:, 0] ^= np.uint64(1 << 63)
         vectors[first] = far
-        links = simhash.near_links(vectors[:, 0], vectors, nodes, 90)
-        assert len(links) == 4 and {n for link in links for n in link} == set(nodes.tolist()) - {10 + first}
+        root = simhash.linked(vectors[:, 0], simhash.ANY_START, vectors, 90)
+        assert len(set(np.delete(root, first))) == 1 and root[first] == first
 
 
-@pytest.mark.parametrize("split", [4096, 16])
-def test_links_of_a_key(monkeypatch, split):
-    """The chains of all 24 keys find every pair within three bits, also when a key's group is split."""
-    monkeypatch.setattr(simhash, "SPLIT", split)
+@pytest.mark.parametrize("pivots", [64, 2])
+def test_links_of_a_key(monkeypatch, pivots):
+    """The chains of all 10 keys find every pair within three bits, also where few members are compared with all."""
+    monkeypatch.setattr(simhash, "PIVOTS", pivots)
     rng = np.random.default_rng(4)
-    center = int(rng.integers(0, 1 << 63))
-    prints = {center}
-    while len(prints) < 150:
+    prints = {int(rng.integers(0, 1 << 63))}
+    while len(prints) < 250:
         x = list(prints)[int(rng.integers(len(prints)))]
         for b in rng.integers(0, 64, int(rng.integers(1, 5))):
             x ^= 1 << int(b)
         prints.add(x)
     prints = np.array(sorted(prints), np.uint64)
-    links = set()
-    for start in range(8):
-        for out in range(3):
-            segments = [start, start + 1, *(start + 2 + k for k in range(3) if k != out)]
-            keys = {}
-            for p in prints.tolist():
-                keys.setdefault(tuple(p >> 8 * (s % 8) & 255 for s in segments), []).append(p)
-            for group in keys.values():
-                found = simhash.group_links(np.array(group, np.uint64), (start * 3 + out) << 32)
-                assert len(found) < len(group)
-                links |= set(found)
-    index = {p: k for k, p in enumerate(prints.tolist())}
-    root = list(range(len(prints)))
+    index, root = {p: k for k, p in enumerate(prints.tolist())}, list(range(len(prints)))
 
     def find(i):
         while root[i] != i:
             i = root[i]
         return i
 
-    for a, b in links:
-        assert a != b
-        x, y = find(index[a]), find(index[b])
-        root[max(x, y)] = min(x, y)
+    for start in range(5):
+        for out in (1, 2):
+            keys = {}
+            for p in prints.tolist():
+                keys.setdefault(tuple(p >> simhash.AT[s % 5] & (1 << simhash.RING[s % 5]) - 1 for s in (start, start + 3 - out)), []).append(p)
+            for group in keys.values():
+                for k, r in enumerate(simhash.key_components((start * 2 + out - 1) << 26, np.array(group, np.uint64).view(np.int64))):
+                    x, y = find(index[group[k]]), find(index[group[r]])
+                    root[max(x, y)] = min(x, y)
     assert [find(i) for i in range(len(prints))] == roots(prints.tolist())
 
 
+def test_dense_groups_take_little_time():
+    """60,000 fingerprints of one key, near a common one: about 64 comparisons each."""
+    rng = np.random.default_rng(1)
+    prints = np.unique(np.bitwise_or.reduce(np.uint64(1) << rng.integers(26, 64, (60_000, 4)).astype(np.uint64), axis=1))
+    began = time.process_time()
+    assert len(set(simhash.linked(prints, simhash.BUDGETS[0]).tolist())) < len(prints) / 2
+    assert time.process_time() - began < 30
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(60)] + [(100, 101), (5, 5)], "a long, b long")
     got = {r["node"]: r["root"] for r in simhash.components(links).collect()}

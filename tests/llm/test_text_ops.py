@@ -148,7 +148,7 @@ def test_complete_epochs_and_weights(spark):
     rows = [(k, "w " * 10, "a") for k in range(300)] + [(k, "w " * 10, "b") for k in range(300, 600)] + [(k, "w " * 10, "c") for k in range(600, 900)]
     docs = table(spark, rows, "doc_id long, text string, source string")
     weights = spark.range(900).select("id", F.when(F.col("id") % 2 == 0, 8.0).otherwise(1.0).alias("weight"))
-    got = mixing.mix(docs, weights=weights, buckets=7).collect()
+    got = mixing.mix(docs, weights=weights, per_doubling=3).collect()
     by = {}
     for r in got:
         by.setdefault(r["source"], []).append(r)
