@@ -4,6 +4,11 @@ quality classifier -> exact dedup -> SimHash near-dedup -> benchmark decontamina
 stage takes (spark, docs, sf_dir), works on all rows that the stage before kept and returns the columns of documents; the last
 adds what the mix takes of each document. Stages move texts once each: decisions are made on narrow rows and meet the
 texts by (id, text hash).
+
+Edge cases, in every stage: a null text is a text without words and equals an empty one; null ids, sources and languages are values of
+their own, and rows with null or equal ids are told apart by their texts; of rows with equal id and text a dedup stage keeps one, the others treat
+them alike; very long texts are read whole; an empty table gives an empty one; further columns are carried along, whatever their names
+(other than the mix_ columns that the last stage adds).
 """
 
 from __future__ import annotations
@@ -11,16 +16,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphspark.llm.common import materialise, null_safe, pick, without
+from glyphspark.llm.common import materialise, null_safe, pick, scratch, without
 from glyphspark.llm.decontaminate import decontaminate
 from glyphspark.llm.exact_dedup import exact_dedup
 from glyphspark.llm.mixing import label_weights, mix
 from glyphspark.llm.quality import documents_quality
-from glyphspark.llm.simhash import simhash_dedup
-
-
-#: Fingerprints per text in the near-duplicate stage.
-SEEDS = 12
+from glyphspark.llm.simhash import near_copies
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,8 +35,9 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each component stays: the smallest id, then the smallest text hash; null ids come last. Several fingerprints per text find copies down to a similarity of about 0.8."""
-    found = simhash_dedup(docs, seeds=SEEDS).groupBy("root", "id", "text_hash").agg(F.count(F.lit(1)).alias("copies"))
+    """One row of each component of near copies (five-word shingles, about 0.8 alike or more) stays: the smallest id, then the smallest text
+    hash; null ids come last."""
+    found = near_copies(docs).groupBy("root", "id", "text_hash").agg(F.count(F.lit(1)).alias("copies"))
     rank = F.struct(F.col("id").isNull().alias("none"), "id", "text_hash", "copies")
     stays = found.groupBy("root").agg(F.min(rank).alias("one")).select("one.id", "one.text_hash", "one.copies")
     return pick(docs, materialise(stays, "near-kept"))
@@ -70,5 +72,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), "pipeline-" + name.split()[0].lower())
+        with scratch(spark):  # what a stage wrote on its way goes when its result is written
+            docs = materialise(stage(spark, docs, sf_dir), "pipeline-" + name.split()[0].lower(), lasting=True)
     return STAGES[-1][1](spark, docs, sf_dir)
