@@ -1,15 +1,15 @@
 """Substring dedup: repeated passages go, the earliest occurrence stays, original offsets are retained.
 
 Units are normalised (A-Z lower-cased, white space to one space), hashed to 96 bits and grouped globally:
-* lines of at least LINE words;
-* windows of WINDOW words, wherever they stand in or across lines. Hashing each window would cost a row per word, so a text
+* lines (or paragraphs, or sentences: `unit`) of at least `min_words` words; 1 takes every one of them, whatever its length;
+* with `windows`, windows of WINDOW words, wherever they stand in or across lines. Hashing each window would cost a row per word, so a text
   offers the least hash of every SPAN neighbouring windows (winnowing): two texts that share WINDOW + SPAN - 1 (48) words in
   a row always offer a common window, and windows with fewer than WINDOW words in common never meet.
-Lines alone miss passages that stand inside longer lines, so the windows are an addition to the line method.
+Whole units miss passages that stand inside longer lines, so the windows are an addition to the unit method.
 
-1. Units are counted per hash, pre-aggregated in each task, with the earliest occurrence by (id, position).
-2. Units whose hash occurs again meet their hash record by (hash, salt), hot hashes over many salts; all but the earliest
-   occurrence are marked.
+1. Units are written once and counted per hash, pre-aggregated in each task.
+2. Units whose hash occurs again meet its count by (hash, salt), hot hashes over many salts; of these few the earliest
+   occurrence by (id, position) is found, and all others are marked.
 3. Offered windows are anchors only: a repeated passage starts up to SPAN - 1 words before its first one and ends as far
    behind its last one. Anchors with unmarked words that near are edges; wherever an edge's hash occurs, all windows
    within SPAN - 1 words are counted as in 1, and those with unmarked words are marked as in 2. So of a passage of
@@ -17,8 +17,8 @@ Lines alone miss passages that stand inside longer lines, so the windows are an
 4. Marked units that overlap or touch are one span, and spans go.
 
 Edge cases: null and empty texts have no units; rows repeated with one id and text count as one; a null id ranks last; a
-repetition inside one document leaves its first occurrence whole; an empty table gives an empty result; only the id and
-text columns are read, so extra columns never clash.
+repetition inside one document leaves its first occurrence whole; an empty table gives an empty result; a very long text is read whole
+by one task; ids keep their type; only the id and text columns are read, so extra columns never clash.
 """
 
 from __future__ import annotations
@@ -33,11 +33,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphspark.llm.common import add_salt, hot_keys, materialise, null_safe, spread
+from glyphspark.llm.common import add_salt, hot_keys, materialise, null_safe, spread, type_of
 
 WINDOW, SPAN = 32, 17
-#: Words of a line that counts as a unit; shorter ones are headings, signatures and the like.
-LINE = 8
+#: Words of a line that counts as a unit by default: as many as a window has. Shorter repeated lines are headings, signatures and the like.
+MIN_WORDS = WINDOW
+#: Where texts are cut into units.
+UNITS = {"line": re.compile(rb"\n"), "paragraph": re.compile(rb"\n[ \t\r\x0b\x0c]*\n"), "sentence": re.compile(rb"(?<=[.!?])[ \t\r\x0b\x0c]+|\n")}
 STEP = 128
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 WORD = re.compile(rb"[^ \t\n\x0b\x0c\r]+")
@@ -50,13 +52,23 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+_powers: dict[int, np.ndarray] = {}
+
+
+def _power(base: int, n: int) -> np.ndarray:
+    """The first n powers of a base, kept for later texts."""
+    if base not in _powers or len(_powers[base]) < n:
+        steps = np.full(max(n, 4096), base, np.uint64)
+        steps[0] = 1
+        _powers[base] = np.multiply.accumulate(steps)
+    return _powers[base][:n]
+
+
 def _rolled(words: np.ndarray, base: int, inverse: int) -> np.ndarray:
     """Hashes of all windows of WINDOW words from sums of word hashes times powers, modulo 2 ** 64."""
     n = len(words)
-    down, up = np.full(n, inverse, np.uint64), np.full(n, base, np.uint64)
-    down[0] = up[0] = 1
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * np.multiply.accumulate(down), dtype=np.uint64)])
-    return _mixed((sums[WINDOW:] - sums[:-WINDOW]) * np.multiply.accumulate(up)[: n - WINDOW + 1])
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * _power(inverse, n), dtype=np.uint64)])
+    return _mixed((sums[WINDOW:] - sums[:-WINDOW]) * _power(base, n)[: n - WINDOW + 1])
 
 
 def window_hashes(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -81,39 +93,43 @@ def windows(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return at, h[at].view(np.int64), g[at]
 
 
-def lines(text: bytes) -> list[tuple[int, int, bytes]]:
-    """Lines of LINE words or more: first word, word after the last, normalised line."""
+def units_of(text: bytes, unit: str = "line", min_words: int = MIN_WORDS) -> list[tuple[int, int, bytes]]:
+    """Units of min_words words or more: first word, word after the last, normalised unit."""
     found, first = [], 0
-    for line in text.split(b"\n"):
-        words = line.split()
-        if len(words) >= LINE:
+    for piece in UNITS[unit].split(text):
+        words = piece.split()
+        if words and len(words) >= min_words:
             found.append((first, first + len(words), b" ".join(words)))
         first += len(words)
     return found
 
 
-def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (id, th, first, size, room, h, g) of all units; room: words that follow, SPAN - 1 at most; g < 0: a line."""
-    for batch in batches:
-        for off in range(0, batch.num_rows, STEP):
-            part = batch.slice(off, STEP)
-            parts: list[tuple] = []
-            for i, t, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).cast(pa.binary()).to_pylist(), strict=True):
-                text = text.translate(LOWER)
-                words = text.split()
-                at, h, g = windows(words)
-                digests = [(a, b - a, xxhash.xxh3_128_digest(norm)) for a, b, norm in lines(text)]
-                first = np.concatenate([at, np.array([d[0] for d in digests], np.int64)])
-                size = np.concatenate([np.full(len(at), WINDOW), np.array([d[1] for d in digests], np.int64)])
-                h = np.concatenate([h, np.array([int.from_bytes(d[2][:8], "little", signed=True) for d in digests], np.int64)])
-                g = np.concatenate([g, np.array([-int.from_bytes(d[2][8:11], "little") - 1 for d in digests], np.int64)])
-                parts.append(([i] * len(first), [t] * len(first), first, size, np.minimum(len(words) - first - size, SPAN - 1), h, g))
-            ids, hashes = ([x for p in parts for x in p[k]] for k in (0, 1))
-            first, size, room, h, g = (np.concatenate([p[k] for p in parts]) for k in (2, 3, 4, 5, 6))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(first, pa.int32()), pa.array(size, pa.int32()), pa.array(room, pa.int32()), pa.array(h, pa.int64()), pa.array(g, pa.int32())],
-                ["id", "th", "pos", "size", "room", "h", "g"],
-            )
+def _units(unit: str, min_words: int, with_windows: bool):
+    """Rows (id, th, first, size, room, h, g) of all units; room: words that follow, SPAN - 1 at most; g < 0: a line, paragraph or sentence."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for off in range(0, batch.num_rows, STEP):
+                part = batch.slice(off, STEP)
+                parts: list[tuple] = []
+                for text in part.column(2).cast(pa.binary()).to_pylist():
+                    text = text.translate(LOWER)
+                    words = text.split()
+                    at, h, g = windows(words if with_windows else [])
+                    size = np.full(len(at), WINDOW)
+                    if whole := units_of(text, unit, min_words):
+                        digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(norm) for _, _, norm in whole), "<u8").reshape(-1, 2)
+                        at = np.concatenate([at, np.array([a for a, _, _ in whole], np.int64)])
+                        size = np.concatenate([size, np.array([b - a for a, b, _ in whole], np.int64)])
+                        h = np.concatenate([h, digests[:, 0].view(np.int64)])
+                        g = np.concatenate([g, -(digests[:, 1] & np.uint64(0x7FFFFFFF)).astype(np.int64) - 1])
+                    parts.append((at, size, np.minimum(len(words) - at - size, SPAN - 1), h, g))
+                owner = pa.array(np.repeat(np.arange(part.num_rows), [len(p[0]) for p in parts]))
+                first, size, room, h, g = (np.concatenate([p[k] for p in parts]) for k in range(5))
+                columns = [part.column(0).take(owner), part.column(1).take(owner), *(pa.array(x, pa.int32()) for x in (first, size, room)), pa.array(h, pa.int64()), pa.array(g, pa.int32())]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "th", "pos", "size", "room", "h", "g"])
+
+    return run
 
 
 def covered(marks: list[dict]) -> list[list]:
@@ -152,8 +168,8 @@ def _beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (id, th, pos, h, g, open) of all windows within SPAN - 1 words of edges; open: it has unmarked words."""
     for batch in batches:
         for off in range(0, batch.num_rows, STEP):
-            part, parts = batch.slice(off, STEP), []
-            for i, t, text, marks in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).cast(pa.binary()).to_pylist(), part.column(3).to_pylist(), strict=True):
+            part, parts, rows = batch.slice(off, STEP), [], []
+            for row, (text, marks) in enumerate(zip(part.column(2).cast(pa.binary()).to_pylist(), part.column(3).to_pylist(), strict=True)):
                 edges = np.array([m["pos"] for m in marks if m["near"]], np.int64)
                 if not len(edges):
                     continue
@@ -165,23 +181,24 @@ def _beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for a, b, _ in covered([m for m in marks if m["later"]]):
                     marked[a + 1 : b + 1] = 1
                 marked = np.cumsum(marked)
-                parts.append(([i] * len(at), [t] * len(at), at, h[at].view(np.int64), g[at], marked[at + WINDOW] - marked[at] < WINDOW))
+                parts.append((at, h[at].view(np.int64), g[at], marked[at + WINDOW] - marked[at] < WINDOW))
+                rows += [row] * len(at)
             if parts:
-                ids, hashes = ([x for p in parts for x in p[k]] for k in (0, 1))
-                at, h, g, is_open = (np.concatenate([p[k] for p in parts]) for k in (2, 3, 4, 5))
+                at, h, g, is_open = (np.concatenate([p[k] for p in parts]) for k in range(4))
+                owner = pa.array(rows, pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(at, pa.int32()), pa.array(h, pa.int64()), pa.array(g, pa.int32()), pa.array(is_open)], ["id", "th", "pos", "h", "g", "open"]
+                    [part.column(0).take(owner), part.column(1).take(owner), pa.array(at, pa.int32()), pa.array(h, pa.int64()), pa.array(g, pa.int32()), pa.array(is_open)], ["id", "th", "pos", "h", "g", "open"]
                 )
 
 
-SPANS = pa.schema([("id", pa.int64()), ("text_hash", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("n_words", pa.int64()), ("keep_id", pa.int64())])
+SPANS = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("n_words", pa.int64())])
 
 
 def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for off in range(0, batch.num_rows, STEP):
-            part, rows = batch.slice(off, STEP), []
-            for i, t, text, marks in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).cast(pa.binary()).to_pylist(), part.column(3).to_pylist(), strict=True):
+            part, rows, owners, keeps = batch.slice(off, STEP), [], [], []
+            for row, (text, marks) in enumerate(zip(part.column(2).cast(pa.binary()).to_pylist(), part.column(3).to_pylist(), strict=True)):
                 merged = covered(marks)
                 places = [w.span() for w in WORD.finditer(text)]
                 at = chars = 0
@@ -189,40 +206,53 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     start, end = places[a][0], places[b - 1][1]
                     first = chars + len(text[at:start].decode())
                     chars, at = first + len(text[start:end].decode()), end
-                    rows.append({"id": i, "text_hash": t, "start": first, "end": chars, "n_words": b - a, "keep_id": keep})
-            yield pa.RecordBatch.from_pylist(rows, SPANS)
+                    rows.append({"start": first, "end": chars, "n_words": b - a})
+                    owners.append(row)
+                    keeps.append(keep)
+            owner, spans = pa.array(owners, pa.int64()), pa.array(rows, SPANS)
+            yield pa.RecordBatch.from_arrays([part.column(0).take(owner), part.column(1).take(owner), *spans.flatten(), pa.array(keeps, part.column(0).type)], ["id", "text_hash", "start", "end", "n_words", "keep_id"])
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: str = "line", min_words: int = MIN_WORDS, with_windows: bool = True) -> DataFrame:
     """One row per removed span: id, text_hash (of the text), start, end (code points), n_words, keep_id (the document
-    that keeps the earliest occurrence of the span's first unit)."""
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text")).filter("text <> ''")
-    each = texts.mapInArrow(_units, "id long, th long, pos int, size int, room int, h long, g int")
+    that keeps the earliest occurrence of the span's first unit).
+
+    unit: line, paragraph or sentence; min_words: the shortest unit (1: all); with_windows: passages inside units, too."""
+    kind = type_of(docs, id_col)
+    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text")).filter("text <> ''")
+    each = materialise(texts.mapInArrow(_units(unit, min_words, with_windows), f"id {kind}, th long, pos int, size int, room int, h long, g int"), "units")
     met, hot = _met(each, "units")
     met = materialise(met, "units-met")
-    marks = met.filter("later").groupBy("id", "th").agg(F.collect_set(F.struct("pos", "size", "room", "own", "keep_id", "h", "g")).alias("marks"))
+    spans = f"id {kind}, text_hash long, start long, end long, n_words long, keep_id {kind}"
+    mark = F.struct("pos", "size", "own", "keep_id")
+    if not with_windows:
+        marks = met.filter("later").groupBy("id", "th").agg(F.collect_set(mark).alias("marks"))
+        return null_safe(texts, marks.hint("shuffle_hash"), ["id", "th"], "inner").select("id", "th", "text", "marks").mapInArrow(_spans, spans)
+    marks = met.filter("later").groupBy("id", "th").agg(F.collect_set(F.struct("pos", "size", "room", "own", "h", "g", F.lit(None).cast("int").alias("keep_id"))).alias("marks"))
     edges = materialise(marks.select("marks").mapInArrow(_edges, "h long, g int").distinct(), "units-edges")
     near = spread(edges.withColumn("near", F.lit(True)), "h", hot).hint("shuffle_hash")
-    flagged = add_salt(met, "h", hot, F.struct("id", "pos")).join(near, ["h", "g", "__salt"], "left").withColumn("near", F.coalesce("near", F.lit(False)))
+    flagged = add_salt(met, "h", hot).join(near, ["h", "g", "__salt"], "left").withColumn("near", F.coalesce("near", F.lit(False)))
     marks = flagged.filter("later or near").groupBy("id", "th").agg(F.collect_set(F.struct("pos", "size", "own", "keep_id", "later", "near")).alias("marks"))
     held = materialise(null_safe(texts, marks.hint("shuffle_hash"), ["id", "th"], "inner").select("id", "th", "text", "marks"), "units-held")
-    beside = materialise(held.mapInArrow(_beside, "id long, th long, pos int, h long, g int, open boolean"), "units-beside")
+    beside = materialise(held.filter(F.exists("marks", lambda m: m["near"])).mapInArrow(_beside, f"id {kind}, th long, pos int, h long, g int, open boolean"), "units-beside")
     more, _ = _met(beside.withColumn("size", F.lit(WINDOW)), "beside", "open")
-    mark = F.struct("pos", "size", "own", "keep_id")
     more = more.filter("later").groupBy("id", "th").agg(F.collect_set(mark).alias("more"))
     held = null_safe(held, more.hint("shuffle_hash"), ["id", "th"], "left")
     first = F.transform(F.filter("marks", lambda m: m["later"]), lambda m: F.struct(m["pos"].alias("pos"), m["size"].alias("size"), m["own"].alias("own"), m["keep_id"].alias("keep_id")))
     held = held.select("id", "th", "text", F.when(F.col("more").isNull(), first).otherwise(F.concat(first, "more")).alias("marks")).filter("size(marks) > 0")
-    return held.mapInArrow(_spans, "id long, text_hash long, start long, end long, n_words long, keep_id long")
+    return held.mapInArrow(_spans, spans)
 
 
-def _met(units: DataFrame, label: str, only: str = "true") -> tuple[DataFrame, list]:
+def _met(units: DataFrame, label: str, only: str = "true") -> tuple[DataFrame, DataFrame | None]:
     """Units (those with `only`) whose hash occurs again, with own, keep_id and later (not the earliest occurrence); hot hashes."""
-    rank = F.struct(F.col("id").isNull().alias("none"), "id", "th", "pos")
-    seen = units.groupBy("h", "g").agg(F.count(F.lit(1)).alias("n"), F.min(rank).alias("first"), F.max(F.expr(only)).alias("of_use")).filter("n > 1 and of_use")
-    seen = materialise(seen.select("h", "g", "n", F.col("first.id").alias("first_id"), F.col("first.th").alias("first_th"), F.col("first.pos").alias("first_pos")), f"{label}-shared")
+    seen = units.groupBy("h", "g").agg(F.count(F.lit(1)).alias("n"), F.max(F.expr(only).cast("int")).alias("of_use")).filter("n > 1 and of_use = 1")
+    seen = materialise(seen.select("h", "g", "n"), f"{label}-shared")
     hot = hot_keys(seen, "h", "n")
-    found = add_salt(units.filter(only), "h", hot, F.struct("id", "pos")).join(spread(seen.drop("n"), "h", hot).hint("shuffle_hash"), ["h", "g", "__salt"]).drop("__salt")
+    again = add_salt(units, "h", hot).join(spread(seen.drop("n"), "h", hot).hint("shuffle_hash"), ["h", "g", "__salt"]).drop("__salt")
+    again = materialise(again, f"{label}-again")
+    rank = F.struct(F.col("id").isNull().alias("none"), "id", "th", "pos")
+    firsts = again.groupBy("h", "g").agg(F.min(rank).alias("first")).select("h", "g", F.col("first.id").alias("first_id"), F.col("first.th").alias("first_th"), F.col("first.pos").alias("first_pos"))
+    found = add_salt(again.filter(only), "h", hot).join(spread(firsts, "h", hot).hint("shuffle_hash"), ["h", "g", "__salt"]).drop("__salt")
     here = F.col("id").eqNullSafe(F.col("first_id")) & (F.col("th") == F.col("first_th"))
     own = F.when(here, F.col("first_pos") + F.col("size")).otherwise(0)
     found = found.withColumn("own", own).withColumn("later", ~(here & (F.col("pos") == F.col("first_pos")))).withColumnRenamed("first_id", "keep_id")

@@ -420,14 +420,42 @@ def test_whole_repeats_go(spark):
     assert got == repeats_brute(rows)
 
 
-def test_short_lines_that_repeat_go(spark):
+def units_brute(rows, split, min_words):
+    """Places (id, word) of units that occurred before."""
+    seen, gone = set(), set()
+    for i, t in sorted(rows):
+        at = 0
+        for piece in re.split(split, t or ""):
+            words = piece.lower().split()
+            if len(words) >= max(1, min_words):
+                if tuple(words) in seen:
+                    gone |= {(i, at + k) for k in range(len(words))}
+                seen.add(tuple(words))
+            at += len(words)
+    return gone
+
+
+@pytest.mark.parametrize("unit, split", [("line", r"\n"), ("paragraph", r"\n[ \t]*\n"), ("sentence", r"(?<=[.!?])[ \t]+|\n")])
+@pytest.mark.parametrize("min_words", [1, 6])
+def test_units_of_any_length(spark, few_rows, unit, split, min_words):
+    """Units alone, exactly: each occurrence but the first goes, however short; a line that all hold, and a very long text."""
+    rng = random.Random(13)
+    common = [passage(rng, n) for n in (1, 2, 5, 6, 8, 12, 40)]
+    rows = [(k, rng.choice(["\n", "\n \n", " "]).join(["A line of all documents here.", *(rng.choice(common) if rng.random() < 0.5 else passage(rng, 9) for _ in range(6))])) for k in range(120)]
+    rows += [(500, None), (501, ""), (502, " \n"), (503, "\n".join(f"{common[2]}\nline {k} of one very long text" for k in range(4000)))]
+    got = removed_words([(i, t or "") for i, t in rows], substring_dedup.substring_dedup(docs(spark, rows), unit=unit, min_words=min_words, with_windows=False).collect())
+    assert got == units_brute(rows, split, min_words) and got
+
+
+def test_windows_and_short_lines_together(spark):
     """Lines of eight words or more go where they repeat, between texts of their own; shorter ones stay."""
     rng = random.Random(13)
     long, short = passage(rng, 8), passage(rng, 7)
     rows = [(k, "\n".join([passage(rng, 20), long, passage(rng, 15), short, passage(rng, 15)])) for k in range(30)]
-    got = substring_dedup.substring_dedup(docs(spark, rows)).collect()
+    got = substring_dedup.substring_dedup(docs(spark, rows), min_words=8).collect()
     texts = dict(rows)
     assert sorted((r["id"], texts[r["id"]][r["start"] : r["end"]], r["n_words"], r["keep_id"]) for r in got) == [(k, long, 8, 0) for k in range(1, 30)]
+    assert substring_dedup.substring_dedup(docs(spark, rows)).count() == 0
 
 
 def test_hashes_of_windows():
@@ -446,6 +474,8 @@ def test_substring_dedup_within_a_document_and_repeats(spark):
     assert {(r["id"], r["keep_id"]) for r in got} == {(1, 1)}
     assert all(r["start"] >= len(p) for r in got)
     assert substring_dedup.substring_dedup(docs(spark, [])).count() == 0
+    named = docs(spark, [(1, p), (2, f"x {p}")]).withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string")))
+    assert [(r["id"], r["keep_id"], r["n_words"]) for r in substring_dedup.substring_dedup(named).collect()] == [("d2", "d1", 55)]
 
 
 def test_remaining_text(spark):
