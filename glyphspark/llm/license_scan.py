@@ -2,35 +2,38 @@
 
 Words are runs of letters, digits and non-ASCII characters after A-Z are lower-cased. Blocks are windows of BLOCK words
 that start at every STRIDE-th word, so a passage of up to BLOCK - STRIDE + 1 words lies whole within a block. A block
-meets a template when it holds at least ceil(threshold * |T|) of the template's distinct words.
-
-1. The document frequency of every template word is counted over the whole corpus; words are ranked rarest first.
-2. Prefix filter: a block that meets a template holds one of the template's first |T| - need + 1 words. Only windows around
-   such words are looked at; most texts end here.
-3. Length filter: the block holds at least `need` words of the template vocabulary. Positional filter: from the first
-   shared word on, template and block both have at least `need` words left.
-4. The survivors' overlap is counted exactly. For the base phrases, whose threshold is 1, an exact check then asks for the
-   words standing consecutively.
-
-The template side is fixed and small (a few hundred words), so the join is a filter inside each row: no document is
-shuffled, and one long or one hot source costs no more than its own words.
-
-Edge cases: null text has no words, labels are empty strings and the score is 0; repeated rows are judged on their own;
-an empty table gives an empty result; only the id and text columns are read, so extra columns never clash.
+meets a template when it holds at least ceil(threshold * |T|) of the template's distinct words. Templates are a table (label, text) of any
+size; the base phrases are templates with threshold 1 whose words must also stand consecutively.
+
+1. Words of the templates are counted over the whole corpus and ranked rarest first; each template is a sequence in that order.
+2. Prefix filter: a block that meets a template holds one of the template's first |T| - need + 1 words. Every word of every text is
+   joined with the index of prefix words; most texts end here.
+3. A hit gives the blocks around it. Length filter: a block has at least `need` distinct words. Positional filter: of several prefix words
+   in a block the first in rank speaks for it; what is ranked before it is not shared, so the template must have `need` words left.
+4. The survivors' overlap is counted exactly, from that word on.
+
+The index is broadcast while template texts have at most SMALL_BYTES, so no text is moved; with more it meets the words by a
+shuffle join, in which a block travels only with a prefix word. What is met is grouped by (id, text hash).
+
+Edge cases: null text has no words, labels are empty strings and the score is 0; repeated rows are judged alike; a very long text is
+cut into its blocks in one task, blocks being all that moves; a template without words meets nothing; an empty table on either side gives
+no labels; ids keep their type; only the id and text columns are read, so extra columns never clash.
 """
 
 from __future__ import annotations
 
-import math
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphspark.llm.common import ascii_lower
+from glyphspark.llm.common import ascii_lower, materialise, null_safe
 
 BLOCK, STRIDE = 128, 64
 THRESHOLD = 0.8
+#: Bytes of template texts up to which their index is broadcast (it is some ten times as large).
+SMALL_BYTES = 4_000_000
+SEPARATORS = "".join(map(chr, [*range(0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]))
+#: A word before A-Z are lower-cased.
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 # The base phrases and their labels.
 PHRASES = {
@@ -39,98 +42,97 @@ PHRASES = {
     "cc by nc": "cc-by-nc",
 }
 
-#: Sentences that identify further licenses; a block with THRESHOLD of a template's distinct words gets the label.
+#: Notices that identify licenses; a block with THRESHOLD of a template's distinct words gets the label.
 TEMPLATES = {
     "mit-text": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction",
+    "mit": "this software is released under the mit license",
     "apache-2-text": "licensed under the apache license you may not use this file except in compliance with the license you may obtain a copy of the license at",
+    "apache-2": "licensed under the apache license version 2 0",
     "bsd-text": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
     "gpl-text": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation",
+    "gpl-3": "this work is licensed under the gnu general public license version 3 or any later version",
     "mpl-2-text": "this source code form is subject to the terms of the mozilla public license if a copy of the mpl was not distributed with this file you can obtain one at",
     "cc-by-text": "this work is licensed under a creative commons attribution international license",
+    "cc-by-nc": "licensed under cc by nc 4 0 international",
     "isc-text": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
     "unlicense-text": "this is free and unencumbered software released into the public domain",
-    "all-rights-reserved": "all rights reserved no part of this publication may be reproduced",
+    "all-rights-reserved": "all rights reserved",
 }
 
 
 def split_words(text: Column) -> Column:
-    """Words as an array; null and empty give an empty array."""
-    spaced = F.split(F.btrim(F.regexp_replace(ascii_lower(F.coalesce(text, F.lit(""))), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "), F.lit(" ")), " ", -1)
-    return F.filter(spaced, lambda w: w != "")
-
-
-def vocabulary_ranks(texts: DataFrame, vocabulary: list[str]) -> dict[str, int]:
-    """Rank of each template word, rarest first, by document frequency over all texts; ties by code point."""
-    in_doc = F.array_distinct(F.filter(F.col("words"), lambda w: w.isin(vocabulary)))
-    counted = texts.select(F.explode(in_doc).alias("w")).groupBy("w").count().collect()  # at most one row per template word
-    seen = {r["w"]: r["count"] for r in counted}
-    return {w: k for k, w in enumerate(sorted(vocabulary, key=lambda w: (seen.get(w, 0), w)))}
-
-
-def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases: dict[str, str] | None = None, templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
+    """Words as an array; null and texts without words give an empty one."""
+    trimmed = F.btrim(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(SEPARATORS))
+    return F.filter(F.split(trimmed, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", -1), lambda w: w != "")
+
+
+def template_table(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
+    return spark.createDataFrame(list(templates.items()), "label string, text string")
+
+
+def template_index(words: DataFrame, templates: DataFrame, threshold: float, phrases: dict[str, str]) -> tuple[DataFrame, bool]:
+    """One row per prefix word of a template, and whether that is small enough to broadcast.
+
+    Columns: word, place (its rank within the template, from 0), ranked (all distinct words by rank), need, label, phrase (the words in
+    order, null for a template). words: all words of the corpus (word)."""
+    spark = words.sparkSession
+    sides = templates.select("label", split_words(F.col("text")).alias("seq"), F.lit(float(threshold)).alias("least"), F.lit(False).alias("is_phrase"))
+    own = spark.createDataFrame([(label, phrase) for phrase, label in phrases.items()], "label string, text string")
+    sides = sides.unionByName(own.select("label", split_words(F.col("text")).alias("seq"), F.lit(1.0).alias("least"), F.lit(True).alias("is_phrase")))
+    sides = materialise(sides.filter("size(seq) > 0").withColumn("tid", F.xxhash64("label", "seq", "is_phrase")), "license-templates")
+    small = (sides.agg(F.sum(F.octet_length(F.array_join("seq", " ")))).first()[0] or 0) <= SMALL_BYTES
+    each = sides.select("tid", F.explode(F.array_distinct("seq")).alias("word"))
+    vocabulary = each.select("word").distinct()
+    # a word that no text holds is rarest; equal counts fall to code points
+    counted = words.join(F.broadcast(vocabulary) if small else vocabulary, "word").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    counted = materialise(counted, "license-counts")
+    ranked = each.join(counted, "word", "left").groupBy("tid").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word"))).alias("order"))
+    ranked = ranked.select("tid", F.transform("order", lambda x: x["word"]).alias("ranked"))
+    full = sides.join(ranked, "tid").withColumn("need", F.greatest(F.lit(1), F.ceil(F.col("least") * F.size("ranked") - 1e-9)).cast("int"))
+    prefix = F.slice("ranked", F.lit(1), F.size("ranked") - F.col("need") + 1)
+    rows = full.select(F.posexplode(prefix).alias("place", "word"), "ranked", "need", "label", F.when(F.col("is_phrase"), F.col("seq")).alias("phrase"))
+    return materialise(rows, "license-index"), small
+
+
+def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases: dict[str, str] | None = None, templates: DataFrame | dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """One row per input row: id, n_words, places (struct<label,start> of the base phrases), labels_met, score.
 
-    labels_met: struct<label,score> per template met, score the largest containment of any block."""
+    templates: (label, text) as a table or a dict. labels_met: struct<label,score> per template label met, score the largest containment
+    of any block. Phrases have up to BLOCK - STRIDE + 1 words."""
     phrases = PHRASES if phrases is None else phrases
     templates = TEMPLATES if templates is None else templates
-    sides = [(label, phrase.split(), 1.0) for phrase, label in phrases.items()] + [(label, text.split(), threshold) for label, text in templates.items()]
-    vocabulary = sorted({w for _, words, _ in sides for w in words})
-
-    texts = docs.select(F.col(id_col).alias("id"), split_words(F.col(text_col)).alias("words"))
-    ranks = vocabulary_ranks(texts, vocabulary)
-    plans = []
-    for label, words, least in sides:
-        ordered = sorted({ranks[w] for w in words})
-        need = max(1, math.ceil(least * len(ordered) - 1e-9))
-        plans.append((label, words, ordered, need, ordered[: len(ordered) - need + 1], least))
-    by_rank = sorted(ranks, key=ranks.get)
-    prefix_words = sorted({by_rank[r] for plan in plans for r in plan[4]})
-
-    # windows around prefix words
-    marks = F.filter(F.transform("words", lambda w, i: F.when(w.isin(prefix_words), i)), lambda i: i.isNotNull())
-    blocks = F.array_distinct(F.flatten(F.transform(marks, lambda i: F.array(F.floor(i / STRIDE).cast("int"), F.greatest(F.floor(i / STRIDE).cast("int") - 1, F.lit(0))))))
-    rank_map = F.create_map(*[x for w, r in ranks.items() for x in (F.lit(w), F.lit(r))])
-
-    def block(b: Column) -> Column:
-        words = F.slice(F.col("words"), b * STRIDE + 1, BLOCK)
-        held = F.array_distinct(F.filter(words, lambda w: w.isin(vocabulary)))
-        return F.struct(b.alias("b"), words.alias("words"), F.array_sort(F.transform(held, lambda w: F.element_at(rank_map, w))).alias("ranks"))
-
-    texts = texts.withColumn("blocks", F.transform(blocks, block))
-
-    def filtered(plan, x: Column) -> Column:
-        _, _, ordered, need, prefix, _ = plan
-        template = F.array(*map(F.lit, ordered))
-        shared = F.array_intersect(F.array(*map(F.lit, prefix)), x["ranks"])
-        first = F.try_element_at(shared, F.lit(1))
-        left_template = len(ordered) - F.array_position(template, first) + 1
-        left_block = F.size(x["ranks"]) - F.array_position(x["ranks"], first) + 1
-        return (F.size(x["ranks"]) >= need) & (F.size(shared) > 0) & (left_template >= need) & (left_block >= need)
-
-    def overlap(plan, x: Column) -> Column:
-        return F.size(F.array_intersect(F.array(*map(F.lit, plan[2])), x["ranks"]))
-
-    def met_blocks(plan) -> Column:
-        return F.filter(F.filter("blocks", lambda x: filtered(plan, x)), lambda x: overlap(plan, x) >= plan[3])
-
-    def phrase_places(plan) -> Column:
-        label, words = plan[0], plan[1]
-        phrase = F.array(*map(F.lit, words))
-        own = F.sequence(F.lit(0), F.lit(STRIDE - 1))  # a place belongs to the block whose first STRIDE words it starts in
-
-        def starts(x: Column) -> Column:
-            return F.transform(F.filter(own, lambda j: F.slice(x["words"], j + 1, len(words)) == phrase), lambda j: x["b"] * STRIDE + j)
-
-        return F.transform(F.flatten(F.transform(met_blocks(plan), starts)), lambda i: F.struct(F.lit(label).alias("label"), i.cast("long").alias("start")))
-
-    def best(plan) -> Column:
-        return F.array_max(F.transform(met_blocks(plan), lambda x: overlap(plan, x) / len(plan[2])))
-
-    places = [phrase_places(plan) for plan in plans[: len(phrases)]]
-    met = [F.struct(F.lit(plan[0]).alias("label"), best(plan).alias("score")) for plan in plans[len(phrases) :]]
-    texts = texts.withColumn("places", reduce(F.concat, places)).withColumn("labels_met", F.filter(F.array(*met), lambda m: m["score"].isNotNull()))
+    if isinstance(templates, dict):
+        templates = template_table(docs.sparkSession, templates)
+    if any(len(p.split()) > BLOCK - STRIDE + 1 for p in phrases):
+        raise ValueError(f"phrases have at most {BLOCK - STRIDE + 1} words")
+    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
+    # the outer form: else the split would be done once more, to leave out empty arrays
+    words = texts.select("id", "th", split_words(F.col("text")).alias("words")).select("id", "th", "words", F.posexplode_outer("words").alias("p", "word"))
+    index, small = template_index(words.select("word"), templates, threshold, phrases)
+
+    hits = words.join(F.broadcast(index), "word") if small else words.join(index.hint("shuffle_hash"), "word")
+    b = F.floor(F.col("p") / STRIDE).cast("int")
+    hits = hits.withColumn("b", F.explode(F.when(b > 0, F.array(b, b - 1)).otherwise(F.array(b))))
+    hits = hits.withColumn("block", F.slice("words", F.col("b") * STRIDE + 1, BLOCK)).drop("words")
+    left = F.size("ranked") - F.col("place")
+    hits = hits.filter((F.size(F.array_distinct("block")) >= F.col("need")) & (left >= F.col("need")))
+    hits = hits.filter(~F.arrays_overlap(F.slice("ranked", F.lit(1), F.col("place")), "block"))
+    shared = F.size(F.array_intersect(F.slice("ranked", F.col("place") + 1, F.size("ranked")), "block"))
+    hits = hits.withColumn("shared", shared).filter("shared >= need")
+
+    own = F.sequence(F.lit(0), F.lit(STRIDE - 1))  # a place belongs to the block whose first STRIDE words it starts in
+    starts = F.transform(F.filter(own, lambda j: F.slice("block", j + 1, F.size("phrase")) == F.col("phrase")), lambda j: (F.col("b") * STRIDE + j).cast("long"))
+    found = hits.select("id", "th", "label", (F.col("shared") / F.size("ranked")).alias("score"), F.explode(F.when(F.col("phrase").isNull(), F.array(F.lit(-1).cast("long"))).otherwise(starts)).alias("start"))
+    found = found.groupBy("id", "th", "label", "start").agg(F.max("score").alias("score"))
+    place, met = F.when(F.col("start") >= 0, F.struct("label", "start")), F.when(F.col("start") < 0, F.struct("label", "score"))
+    found = found.groupBy("id", "th").agg(F.collect_list(place).alias("places"), F.collect_list(met).alias("labels_met"))
+    found = materialise(found, "license-found")
+
+    rows = texts.select("id", "th", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("n_words"))
+    rows = null_safe(rows, found.hint("shuffle_hash"), ["id", "th"], "left")
+    rows = rows.withColumn("places", F.coalesce("places", F.array().cast("array<struct<label:string,start:bigint>>"))).withColumn("labels_met", F.coalesce("labels_met", F.array().cast("array<struct<label:string,score:double>>")))
     score = F.when(F.size("places") > 0, 1.0).otherwise(F.coalesce(F.array_max(F.transform("labels_met", lambda m: m["score"])), F.lit(0.0)))
-    return texts.select("id", F.size("words").cast("long").alias("n_words"), "places", "labels_met", score.alias("score"))
+    return rows.select("id", "n_words", "places", "labels_met", score.alias("score"))
 
 
 def op2_license_scan(spark, sf_dir: str) -> DataFrame:

@@ -26,32 +26,69 @@ def table(spark, rows, columns):
 # licenses
 
 
+def licenses_brute(rows, phrases, templates, threshold):
+    out = {}
+    for i, t in rows:
+        w, places, met = words_of(t), [], {}
+        for phrase, label in phrases.items():
+            p = phrase.split()
+            places += [(label, k) for k in range(len(w)) if w[k : k + len(p)] == p]
+        blocks = [set(w[b : b + license_scan.BLOCK]) for b in range(0, len(w), license_scan.STRIDE)]
+        for label, template in templates:
+            s = set(words_of(template))
+            best = max((len(s & b) / len(s) for b in blocks if len(s & b) >= threshold * len(s) - 1e-9), default=0) if s else 0
+            if best:
+                met[label] = max(best, met.get(label, 0))
+        out[i] = (len(w), sorted(places), met, 1.0 if places else max(met.values(), default=0.0))
+    return out
+
+
+def check_licenses(got, want):
+    for r in got:
+        n, places, met, score = want[r["id"]]
+        assert (r["n_words"], sorted(map(tuple, r["places"]))) == (n, places)
+        assert {m["label"]: pytest.approx(m["score"]) for m in r["labels_met"]} == met
+        assert r["score"] == pytest.approx(score)
+
+
 def test_license_scan(spark):
     rng = random.Random(1)
     words = sorted({w for t in license_scan.TEMPLATES.values() for w in t.split()} | {"mit", "cc", "2", "é"})
     rows = [(k, " ".join(rng.choice(words) for _ in range(rng.randrange(300)))) for k in range(40)]
     for k, t in enumerate([*license_scan.TEMPLATES.values(), "Under the MIT-License, under the mit license", "cc/by_nc CC by NC", "apache license version 2", None, ""]):
-        at = rng.randrange(200)
-        filler = ["é"] * at
+        filler = ["é"] * rng.randrange(200)
         rows.append((100 + k, None if t is None else " ".join([*filler, t.upper(), *filler])))
-    rows.append((200, "und mit der " * 20_000 + "under the mit license"))
-    got = {r["id"]: r for r in license_scan.license_scan(table(spark, rows, "doc_id long, text string")).collect()}
+    rows += [(200, "und mit der " * 20_000 + "under the mit license"), (201, "... "), (202, "This work is licensed under the GNU General Public License, version 3."), (203, "all rights are reserved")]
+    rows += [rows[40], rows[41], rows[40], (None, "under the mit license")]
+    want = licenses_brute(rows, license_scan.PHRASES, license_scan.TEMPLATES.items(), license_scan.THRESHOLD)
+    got = license_scan.license_scan(table(spark, rows, "doc_id long, text string")).collect()
     assert len(got) == len(rows)
-    for i, t in rows:
-        w, places, met = words_of(t), [], {}
-        for phrase, label in license_scan.PHRASES.items():
-            p = phrase.split()
-            places += [(label, k) for k in range(len(w)) if w[k : k + len(p)] == p]
-        for label, template in license_scan.TEMPLATES.items():
-            s = set(template.split())
-            best = max((len(s & set(w[b : b + license_scan.BLOCK])) / len(s) for b in range(0, len(w), license_scan.STRIDE)), default=0)
-            if best >= license_scan.THRESHOLD - 1e-9:
-                met[label] = best
-        r = got[i]
-        assert r["n_words"] == len(w) and sorted(map(tuple, r["places"])) == sorted(places)
-        assert {m["label"]: pytest.approx(m["score"]) for m in r["labels_met"]} == met
-        assert r["score"] == pytest.approx(1.0 if places else max(met.values(), default=0.0))
+    check_licenses(got, want)
+    part = {m["label"]: m["score"] for r in got if r["id"] == 202 for m in r["labels_met"]}
+    assert part == {"gpl-3": pytest.approx(0.8)}
     assert license_scan.license_scan(table(spark, [], "doc_id long, text string")).count() == 0
+    assert {r["score"] for r in license_scan.license_scan(table(spark, rows, "doc_id long, text string"), phrases={}, templates=license_scan.template_table(spark, {})).collect()} == {0.0}
+
+
+@pytest.mark.parametrize("small", [0, 10**6])
+def test_many_templates_met_in_part(spark, monkeypatch, small):
+    """A table of 300 templates, several texts to a label, blocks that hold more or less of them; the index broadcast or not."""
+    monkeypatch.setattr(license_scan, "SMALL_BYTES", small)
+    rng = random.Random(2)
+    vocabulary = [f"w{k}" for k in range(400)]
+    templates = [(f"t{k % 250}", " ".join(rng.choices(vocabulary, k=rng.randrange(1, 60)))) for k in range(300)] + [("none", " - "), ("null", None)]
+    rows = []
+    for k in range(150):
+        words = [rng.choice(vocabulary) for _ in range(rng.randrange(30))]
+        for _ in range(rng.randrange(3)):
+            some = [w for w in rng.choice(templates[:300])[1].split() if rng.random() < rng.choice([0.7, 0.85, 1.0])] if k % 5 else ["x"]
+            words += [*some, *(rng.choice("xyz") for _ in range(rng.randrange(100)))]
+        rows.append((k, " ".join(words)))
+    phrases = {"w1 w2": "pair", "x y x": "xyx"}
+    want = licenses_brute(rows, phrases, [(label, t or "") for label, t in templates], 0.75)
+    got = license_scan.license_scan(table(spark, rows, "doc_id long, text string"), phrases=phrases, templates=spark.createDataFrame(templates, "label string, text string"), threshold=0.75).collect()
+    check_licenses(got, want)
+    assert len({round(m["score"], 3) for r in got for m in r["labels_met"]}) > 5
 
 
 # quality
