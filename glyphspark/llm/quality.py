@@ -3,22 +3,26 @@
 Document evidence. Two classifiers are fitted on a bounded sample of labelled rows (SAMPLE_ROWS, the smallest hashes of
 their ids; equal and nearly equal texts count once, else the invented words of one copied text would look toxic):
 * toxic words: each word's rate of toxic documents, shrunk by a Beta prior at the global rate; a word is kept when its
-  rate is well above one half and too high to be chance among all words tested. A document's evidence is that of its strongest words (noisy or), so
-  length alone never adds up to a rejection.
+  rate is well above one half and too high to be chance among all words tested. A document's evidence is that of its STRONGEST (three) strongest words
+  (noisy or), so length alone never adds up to a rejection.
 * low quality: logistic regression on shape figures (capitals, symbols, bars, repeated words, distinct words, ...).
 p = 1 - (1 - p_toxic) * (1 - p_low) is the probability that a document is bad.
 
 Sites. Over all documents, grouped sums of p per host and per path give posteriors: a Beta prior for hosts is fitted to the
 spread between hosts by moments, a host's rate shrinks to it; a path's rate shrinks to its host's with a strength
 fitted to the spread between paths. Sparse sites thus keep the global prior. The log-odds shift of the path against the
-global rate, at most SITE_SHIFT either way, is added to the document's log-odds; above one half a document is rejected.
+global rate, at most `site_shift` either way (infinity: unbounded), is added to the document's log-odds; above one half a document is rejected.
 
 Scale: texts are scored in place and only (id, host, path, p) is written; site tables are grouped sums, pre-aggregated per
-task, and meet the narrow scores by a join that Spark splits where a host is hot.
+task, and meet the narrow scores by (site, salt), sites of many documents being dealt over many salts.
+
+Hosts and paths are columns of the caller's choice. `of_pages` takes them from URLs. A documents table has no URLs; there (`documents_quality`)
+the source stands for the host, and the language, the only other grouping the table has, for a section of it: it is not a path.
 
 Edge cases: null and empty texts have no evidence, p is the global rate (they are kept unless most documents are bad); a null host or path is a site of
 its own; without labels both classifiers are silent; repeated rows are scored alike; an empty table gives an empty result;
-only the named columns are read, so extra columns never clash.
+a very long text
+is scored whole by one task; ids keep their type; only the named columns are read, so extra columns never clash.
 """
 
 from __future__ import annotations
@@ -33,14 +37,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glyphspark.llm.common import materialise, null_safe
+from glyphspark.llm.common import add_salt, hot_keys, materialise, null_safe, spread, type_of
 
 #: Labelled rows that the document classifiers are fitted on at most.
 SAMPLE_ROWS = 6000
 #: Documents of the sample that must hold a word before it counts.
 WORD_SUPPORT = 4
-#: Largest log-odds shift by which a site may move a document.
+#: Largest log-odds shift by which a site may move a document: without a bound, clean documents of bad sites go (see README).
 SITE_SHIFT = 1.0
+#: Toxic words of a document that count as evidence.
+STRONGEST = 3
 #: Shingle hashes that describe a sampled text, and how many shared ones make two texts near copies.
 SKETCH, SKETCH_SHARED = 24, 8
 STEP = 64
@@ -91,8 +97,9 @@ def distinct_texts(sketches: list[list[int]]) -> list[int]:
 class Model:
     """Toxic word rates and a logistic regression on shapes."""
 
-    def __init__(self, rows: list[tuple[int | None, int | None, list[str], list[float]]]):
+    def __init__(self, rows: list[tuple[int | None, int | None, list[str], list[float]]], strongest: int = STRONGEST):
         """rows: quality, toxic, distinct words, shape."""
+        self.strongest = strongest
         known = [(t, words) for _, t, words, _ in rows if t is not None]
         self.toxic_rate = (sum(t for t, _ in known) + 0.5) / (len(known) + 10)
         bad, seen = Counter(), Counter()
@@ -127,7 +134,7 @@ class Model:
         if not words:
             return self.toxic_rate, self.low_rate
         found = sorted((self.words[w] for w in self.words.keys() & set(words)), reverse=True)
-        clean = 1 - self.toxic_rate if not found else math.prod(1 - r for r in found[:3])
+        clean = 1 - self.toxic_rate if not found else math.prod(1 - r for r in found[: self.strongest])
         x = (np.array(shape(text, words)) - self.mean) / self.scale
         z = float(self.weights[0] + x @ self.weights[1:])
         return 1 - clean, 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
@@ -147,7 +154,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pylist(rows, FEATURES)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS, strongest: int = STRONGEST) -> Model:
     """Fit both classifiers on at most sample_rows labelled documents; the word lists stay on executors but for words seen WORD_SUPPORT times."""
     each = labels.groupBy(F.col(id_col).alias("id")).agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
@@ -160,7 +167,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     kept = F.filter("words", lambda w: w.isin(words)) if words else F.array().cast("array<string>")
     found = sorted(tuple(r) for r in rows.select("sketch", F.coalesce("quality", F.lit(-1)), F.coalesce("toxic", F.lit(-1)), kept.alias("words"), "shape").toLocalIterator())
     known = lambda x: None if x < 0 else x
-    return Model([(known(q), known(t), words, figures) for _, q, t, words, figures in (found[k] for k in distinct_texts([r[0] for r in found]))])
+    return Model([(known(q), known(t), words, figures) for _, q, t, words, figures in (found[k] for k in distinct_texts([r[0] for r in found]))], strongest)
 
 
 def _odds(p: Column) -> Column:
@@ -178,7 +185,7 @@ def _prior(groups: DataFrame, rate: Column, size: Column) -> tuple[float, float]
     return mean, min(max(mean * (1 - mean) / between - 1, 2.0), 10_000.0)
 
 
-def quality(docs: DataFrame, model: Model, host: Column, path: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def quality(docs: DataFrame, model: Model, host: Column, path: Column, id_col: str = "doc_id", text_col: str = "text", site_shift: float = SITE_SHIFT) -> DataFrame:
     """One row per input row: id, text_hash, p_toxic, p_low, host_rate, path_rate, score (bad, 0 to 1), kept."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -189,8 +196,8 @@ def quality(docs: DataFrame, model: Model, host: Column, path: Column, id_col: s
                 scores = [shared.value.score(t) for t in part.column(4).cast(pa.binary()).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(4)), pa.array([a for a, _ in scores], pa.float64()), pa.array([b for _, b in scores], pa.float64())], ["id", "text_hash", "host", "path", "p_toxic", "p_low"])
 
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_hash"), host.cast("string").alias("host"), path.cast("string").alias("path"), F.col(text_col).alias("text"))
-    scored = texts.mapInArrow(run, "id long, text_hash long, host string, path string, p_toxic double, p_low double")
+    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), host.cast("string").alias("host"), path.cast("string").alias("path"), F.col(text_col).alias("text"))
+    scored = texts.mapInArrow(run, f"id {type_of(docs, id_col)}, text_hash long, host string, path string, p_toxic double, p_low double")
     scored = materialise(scored.withColumn("p", 1 - (1 - F.col("p_toxic")) * (1 - F.col("p_low"))), "quality-scores")
 
     paths = materialise(scored.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum("p").alias("s")), "quality-paths")
@@ -201,14 +208,22 @@ def quality(docs: DataFrame, model: Model, host: Column, path: Column, id_col: s
     _, within = _prior(sites, F.least(F.greatest(F.col("s") / F.col("n") - F.col("host_rate") + mean, F.lit(0.0)), F.lit(1.0)), F.col("n"))
     sites = materialise(sites.select("host", "path", "host_rate", ((F.col("s") + F.col("host_rate") * within) / (F.col("n") + within)).alias("path_rate")), "quality-sites")
 
-    out = null_safe(scored, sites, ["host", "path"], "inner")
-    shift = F.least(F.greatest(_odds(F.col("path_rate")) - _odds(F.lit(mean)), F.lit(-SITE_SHIFT)), F.lit(SITE_SHIFT))
+    site = F.xxhash64("host", "path")
+    hot = hot_keys(paths.withColumn("site", site), "site", "n")
+    out = null_safe(add_salt(scored.withColumn("site", site), "site", hot), spread(sites.withColumn("site", site), "site", hot), ["site", "__salt", "host", "path"], "inner")
+    shift = F.least(F.greatest(_odds(F.col("path_rate")) - _odds(F.lit(mean)), F.lit(-float(site_shift))), F.lit(float(site_shift)))
     score = 1 / (1 + F.exp(-(_odds(F.col("p")) + shift)))
     return out.select("id", "text_hash", "p_toxic", "p_low", "host_rate", "path_rate", score.alias("score"), (score <= 0.5).alias("kept"))
 
 
+def of_pages(url: Column) -> tuple[Column, Column]:
+    """Host and first directory of the path of a URL; empty where there is none."""
+    host = F.lower(F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)", 1))
+    return host, F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]+/([^/?#]+)/", 1)
+
+
 def documents_quality(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The operator over a documents table: host is the source, path the source's section by language."""
+    """The operator over a documents table: the source stands for the host, the language for a section of it."""
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality(docs, model, F.col("source"), F.col("lang"))
 

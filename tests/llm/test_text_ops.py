@@ -1,6 +1,7 @@
 """License scan, quality, mixing, HTML extraction, language ID and decontamination, with odd inputs."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -8,7 +9,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from glyphspark.llm import decontaminate, html_extract, langid, license_scan, mixing, quality
+from glyphspark.llm import common, decontaminate, html_extract, langid, license_scan, mixing, quality
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -143,6 +144,64 @@ def test_sparse_sites_shrink(spark):
     assert abs(got[1000]["path_rate"] - got[0]["path_rate"]) < 1e-6
 
 
+def posteriors_brute(rows, site_shift):
+    """rows: (id, host, path, p) -> id: (host rate, path rate, score), from the definition."""
+
+    def prior(groups):
+        n = sum(k for _, k in groups)
+        mean = min(max(sum(r * k for r, k in groups) / n, 1e-4), 1 - 1e-4)
+        spread = sum(r * r * k for r, k in groups) / n - mean * mean
+        spread = max(spread - mean * (1 - mean) * len(groups) / n, 1e-6)
+        return mean, min(max(mean * (1 - mean) / spread - 1, 2), 10_000)
+
+    odds = lambda x: math.log(min(max(x, 1e-6), 1 - 1e-6) / (1 - min(max(x, 1e-6), 1 - 1e-6)))
+    hosts, paths = {}, {}
+    for _, h, p, x in rows:
+        hosts.setdefault(h, []).append(x)
+        paths.setdefault((h, p), []).append(x)
+    mean, strength = prior([(sum(v) / len(v), len(v)) for v in hosts.values()])
+    host_rate = {h: (sum(v) + mean * strength) / (len(v) + strength) for h, v in hosts.items()}
+    _, within = prior([(min(max(sum(v) / len(v) - host_rate[h] + mean, 0), 1), len(v)) for (h, _), v in paths.items()])
+    path_rate = {k: (sum(v) + host_rate[k[0]] * within) / (len(v) + within) for k, v in paths.items()}
+    out = {}
+    for i, h, p, x in rows:
+        shift = min(max(odds(path_rate[h, p]) - odds(mean), -site_shift), site_shift)
+        out[i] = (host_rate[h], path_rate[h, p], 1 / (1 + math.exp(-(odds(x) + shift))))
+    return out
+
+
+@pytest.mark.parametrize("site_shift", [1.0, 0.2, float("inf")])
+def test_posteriors_against_brute_force(spark, monkeypatch, site_shift):
+    """Hosts and paths of URLs, sparse and hot ones (over salts), null ones too."""
+    monkeypatch.setattr(common, "HOT_ROWS", 50)
+    rng = random.Random(7)
+    rows = []
+    for k in range(700):
+        host = rng.choice(["big.org"] * 6 + [f"site{rng.randrange(40)}.net", "Bad.com"])
+        words = " ".join(rng.choice(["fine", "words", "vile" if host == "Bad.com" and rng.random() < 0.6 else "here"]) for _ in range(rng.randrange(9)))
+        rows.append((f"d{k}", words, None if rng.random() < 0.03 else f"https://{host}/{rng.choice(['news', 'blog', 'x'])}/{k}.html"))
+    docs = spark.createDataFrame(rows, "doc_id string, text string, url string")
+    model = quality.Model([(1, 0, ["fine"], [0.0] * quality.SHAPES)] * 50 + [(1, 1, ["vile"], [0.0] * quality.SHAPES)] * 20)
+    host, path = quality.of_pages(F.col("url"))
+    got = quality.quality(docs, model, host, path, site_shift=site_shift).collect()
+    sites = {r["doc_id"]: (r["h"], r["p"]) for r in docs.select("doc_id", host.alias("h"), path.alias("p")).collect()}
+    assert {h for h, _ in sites.values()} >= {"big.org", "bad.com", None} and {p for _, p in sites.values()} == {"news", "blog", "x", None}
+    both = {i: model.score(t.encode()) for i, t, _ in rows}
+    want = posteriors_brute([(i, *sites[i], 1 - (1 - both[i][0]) * (1 - both[i][1])) for i, _, _ in rows], site_shift)
+    assert len(got) == len(rows)
+    for r in got:
+        assert (r["host_rate"], r["path_rate"], r["score"]) == pytest.approx(want[r["id"]], rel=1e-9)
+        assert r["kept"] == (r["score"] <= 0.5)
+
+
+def test_only_the_strongest_words_count():
+    one, three = (quality.Model([], strongest=n) for n in (1, 3))
+    for m in (one, three):
+        m.words = {w: 0.7 for w in (b"vilea", b"vileb", b"vilec", b"viled")}
+    text = b"vilea vileb vilec viled"
+    assert one.score(text)[0] == pytest.approx(0.7) and three.score(text)[0] == pytest.approx(1 - 0.3**3)
+
+
 # mixing
 
 
