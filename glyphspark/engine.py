@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import time
+import uuid
+from datetime import datetime, timezone
+
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from glyphspark import __version__
 from glyphspark.functions import entities, match
 from glyphspark.operators import analytics, recommend, search
+from glyphspark.operators.search import COMPARE_BYTES, MAX_PATTERNS
 from glyphspark.schema import ENTITY
 from glyphspark.shipping import ship
 from glyphspark.sources import files
@@ -36,19 +41,36 @@ class Engine:
         return files.files(self.spark, path).withColumn("text", F.make_valid_utf8(F.col("content").cast("string")))
 
     def search(self, source: str | DataFrame, pattern: str, algorithm: str = "AUTO", user_id: str = "", **options) -> DataFrame:
+        """The search's results. With a log path the search runs once, here: its results are written below that path, and one row is
+        appended to each log, with what it measured; without, it runs when the result is used."""
         texts = self.texts(source)
         found = search.search(texts, pattern, algorithm=algorithm, **options)
-        if self.log_path:
-            history, logs = files.log_rows(found, pattern, user_id, F.current_timestamp(), file_col="path" if "path" in texts.columns else None)
-            files.append(history, f"{self.log_path}/search_history", best_effort=True)
-            files.append(logs, f"{self.log_path}/performance_logs", best_effort=True)
-        return found
-
-    def search_multi(self, source: str | DataFrame, patterns: list[str], id_col: str = "doc_id", **options) -> DataFrame:
-        return search.search_multi(self.texts(source), patterns, id_col, **options)
-
-    def compare(self, source: str | DataFrame, pattern: str, id_col: str = "doc_id", **options) -> DataFrame:
-        return search.compare(self.texts(source), pattern, id_col, **options)
+        return found if self.log_path is None else self._logged(found, pattern, user_id, options.get("text_col", "text"))
+
+    def _logged(self, found: DataFrame, pattern: str, user_id: str, text_col: str) -> DataFrame:
+        seen = Observation()
+        path = F.min("path") if "path" in found.columns else F.lit(None).cast("string")
+        size = F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0)).cast("bigint")
+        watched = found.observe(seen, F.max(F.col("algorithm")).alias("algorithm"), F.coalesce(F.sum("match_count"), F.lit(0)).alias("matches_count"), size.alias("text_size_bytes"), F.max(path).alias("path") if "path" not in found.columns else path.alias("path"))
+        results = f"{self.log_path}/results/{uuid.uuid4().hex}"
+        began, at = time.perf_counter(), datetime.now(timezone.utc)
+        watched.write.parquet(results)
+        figures = dict(seen.get) | {"duration_ms": (time.perf_counter() - began) * 1000}
+        figures["algorithm"] = figures["algorithm"] or ""
+        history, logs = files.log_row(self.spark, pattern, user_id, figures, at)
+        files.append(history, f"{self.log_path}/search_history", best_effort=True)
+        files.append(logs, f"{self.log_path}/performance_logs", best_effort=True)
+        return self.spark.read.schema(found.schema).parquet(results)
+
+    def search_file(self, path: str, pattern: str, **options) -> DataFrame:
+        """path, pos of the matches in files of any size."""
+        return search.search_file(self.spark, path, pattern, **options)
+
+    def search_multi(self, source: str | DataFrame, patterns: list[str], id_col: str = "doc_id", max_patterns: int | None = MAX_PATTERNS, **options) -> DataFrame:
+        return search.search_multi(self.texts(source), patterns, id_col, max_patterns=max_patterns, **options)
+
+    def compare(self, source: str | DataFrame, pattern: str, id_col: str = "doc_id", max_bytes: int | None = COMPARE_BYTES, **options) -> DataFrame:
+        return search.compare(self.texts(source), pattern, id_col, max_bytes=max_bytes, **options)
 
     def extract_entities(self, source: str | DataFrame, text_col: str = "text") -> DataFrame:
         return self.texts(source).withColumn("entities", entities.extract_entities(F.col(text_col)))
@@ -75,7 +97,8 @@ class Engine:
             self.monitor.stop(watch_id)
 
     def register_functions(self) -> None:
-        """SQL functions find_all(text, pattern), fuzzy_find(text, pattern, k) and extract_entities(text)."""
+        """SQL functions find_all(text, pattern), fuzzy_find(text, pattern, k) and extract_entities(text), and the table functions
+        matches_of(text, pattern) and entities_of(text)."""
         register(self.spark)
 
 
@@ -103,6 +126,20 @@ def register(spark: SparkSession) -> None:
     def extract(text: pa.Array) -> pa.Array:
         return pa.array([None if t is None else entities.entities_of(t) for t in text.to_pylist()], kind)
 
+    @F.udtf(returnType="pos bigint")
+    class MatchesOf:
+        def eval(self, text: str, pattern: str):
+            for p in match.occurrences((text or "").encode(), (pattern or "").encode()):
+                yield (p,)
+
+    @F.udtf(returnType="type string, value string, start int, end int")
+    class EntitiesOf:
+        def eval(self, text: str):
+            for e in entities.entities_of(text or ""):
+                yield e["type"], e["value"], e["start"], e["end"]
+
+    spark.udtf.register("matches_of", MatchesOf)
+    spark.udtf.register("entities_of", EntitiesOf)
     spark.udf.register("find_all", find_all)
     spark.udf.register("fuzzy_find", fuzzy_find)
     spark.udf.register("extract_entities", extract)

@@ -10,8 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from glyphspark.functions.names import ENGLISH_FIRST, ENGLISH_LAST, ENGLISH_MONTHS, HEBREW_FIRST, HEBREW_IN, HEBREW_LAST, HEBREW_MONTHS
-from glyphspark.functions.text import CONTEXT_CHARS
-from glyphspark.schema import ENRICHED, ENTITY
+from glyphspark.functions.text import CONTEXT_CHARS, char_offset, snippet
+from glyphspark.schema import ENTITY
 
 _MONTHS = "|".join(ENGLISH_MONTHS + HEBREW_MONTHS + [HEBREW_IN + m for m in HEBREW_MONTHS])
 _OCTET = r"(?:25[0-5]|2[0-4]\d|[01]?\d\d?)"
@@ -97,22 +97,19 @@ def extract_entities(text: Column) -> Column:
 def enrich(text: Column, offsets: Column, pattern_bytes: int, context: int = CONTEXT_CHARS) -> Column:
     """array<struct<byte_offset,char_offset,snippet,entities>> of matches at byte offsets.
 
-    Entities are those of the snippet alone, with offsets in the whole text."""
-    kind = pa.list_(pa.struct([("byte_offset", pa.int64()), ("char_offset", pa.int64()), ("snippet", pa.string()), ("entities", pa.list_(_ENTITY))]))
-
-    def one(text: str, data: bytes, at: int) -> dict:
-        char = len(data[:at].decode("utf-8", "replace"))
-        start = max(0, char - context)
-        around = text[start : char + pattern_bytes + context]
-        inside = [{**e, "start": e["start"] + start, "end": e["end"] + start} for e in entities_of(around)]
-        return {"byte_offset": at, "char_offset": char, "snippet": around, "entities": inside}
-
-    @F.arrow_udf(ENRICHED)
-    def run(texts: pa.Array, places: pa.Array) -> pa.Array:
-        rows = []
-        for t, offs in zip(texts.to_pylist(), places.to_pylist(), strict=True):
-            data = None if t is None else t.encode()
-            rows.append(None if t is None or offs is None else [one(t, data, at) for at in offs])
-        return pa.array(rows, kind)
-
-    return run(text, offsets)
+    Offsets and snippets are column expressions; only the entities of the snippets need Python, and are shifted to the whole text after."""
+    places = F.transform(offsets, lambda at: F.struct(at.alias("byte"), char_offset(text, at).cast("bigint").alias("char")))
+    snippets = F.transform(places, lambda x: snippet(text, x["char"], pattern_bytes, context))
+
+    @F.arrow_udf(f"array<array<{ENTITY}>>")
+    def inside(column: pa.Array) -> pa.Array:
+        return pa.array([None if row is None else list(map(entities_of, row)) for row in column.to_pylist()], pa.list_(pa.list_(_ENTITY)))
+
+    def shifted(entity: Column, by: Column) -> Column:
+        return F.struct(entity["type"].alias("type"), entity["value"].alias("value"), (entity["start"] + by).cast("int").alias("start"), (entity["end"] + by).cast("int").alias("end"))
+
+    def one(x: Column) -> Column:
+        by = F.greatest(x["p"]["char"] - context, F.lit(0))
+        return F.struct(x["p"]["byte"].alias("byte_offset"), x["p"]["char"].alias("char_offset"), x["s"].alias("snippet"), F.transform(x["e"], lambda e: shifted(e, by)).alias("entities"))
+
+    return F.transform(F.arrays_zip(places.alias("p"), snippets.alias("s"), inside(snippets).alias("e")), one)

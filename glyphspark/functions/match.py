@@ -6,6 +6,8 @@ each text with the C search of `bytes.find`; texts without the pattern never rea
 
 from __future__ import annotations
 
+import time
+
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -15,6 +17,8 @@ EXACT = ("KMP", "Boyer-Moore", "Rabin-Karp", "Shift-Or")
 MULTI = "Aho-Corasick"
 #: Matches that one call reports at most by default; the true total is always counted.
 MATCH_CAP = 200_000
+#: The largest error budget of a request.
+MAX_ERRORS = 5
 #: Patterns from which on one automaton pass replaces one pass per pattern.
 AUTOMATON_FROM = 24
 
@@ -50,6 +54,60 @@ def find_all(text: Column, pattern: str | bytes) -> Column:
     return F.when(text.isNotNull(), F.coalesce(search(held), F.array().cast("array<bigint>")))
 
 
+def find_capped(text: Column, pattern: str | bytes, cap: int, stop: bool = False) -> Column:
+    """struct<matches:array<bigint>,total:bigint>: the first cap offsets and how many there are; null for null text.
+
+    Matches beyond the cap are counted, not kept. stop: the walk ends at the first one beyond it (total is then cap + 1)."""
+    needle = to_bytes(pattern)
+    kind = pa.struct([("matches", pa.list_(pa.int64())), ("total", pa.int64())])
+
+    def walk(data: bytes) -> dict:
+        kept, total, at = [], 0, data.find(needle)
+        while at >= 0:
+            total += 1
+            if total <= cap:
+                kept.append(at)
+            elif stop:
+                break
+            at = data.find(needle, at + 1)
+        return {"matches": kept, "total": total}
+
+    @F.arrow_udf("struct<matches:array<bigint>,total:bigint>")
+    def search(column: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else walk(t) for t in column.cast(pa.binary()).to_pylist()], kind)
+
+    none = F.struct(F.array().cast("array<bigint>").alias("matches"), F.lit(0).cast("bigint").alias("total"))
+    if not needle:
+        return F.when(text.isNotNull(), none)
+    held = F.when(F.contains(text, F.lit(needle if isinstance(pattern, bytes) else pattern)), text)
+    return F.when(text.isNotNull(), F.coalesce(search(held), none))
+
+
+def timed_counts(text: Column, pattern: str, with_fuzzy: bool = True) -> Column:
+    """array<struct<algorithm,match_count,duration_ms>>: every algorithm on each text, timed; null text counts as empty."""
+    needle = to_bytes(pattern)
+    kind = pa.list_(pa.struct([("algorithm", pa.string()), ("match_count", pa.int64()), ("duration_ms", pa.float64())]))
+    near = compat_ends if len(needle) <= 64 else edit_ends
+    ways = [(EXACT, lambda t: occurrences(t, needle)), ((MULTI,), lambda t: _finder([needle])(t))]
+    if with_fuzzy:
+        ways.append((("Fuzzy (k=1)",), lambda t: near(t, needle, 1) if t and needle else []))
+
+    def runs(data: bytes) -> list[dict]:
+        out = []
+        for names, way in ways:
+            began = time.perf_counter()
+            count = len(way(data))
+            ms = (time.perf_counter() - began) * 1000
+            out += [{"algorithm": name, "match_count": count, "duration_ms": ms} for name in names]
+        return out
+
+    @F.arrow_udf("array<struct<algorithm:string,match_count:bigint,duration_ms:double>>")
+    def search(column: pa.Array) -> pa.Array:
+        return pa.array([runs(t or b"") for t in column.cast(pa.binary()).to_pylist()], kind)
+
+    return search(text)
+
+
 def find_all_native(text: Column, pattern: str) -> Column:
     """The same without Python, for short texts: each start is tested on the text's bytes."""
     data, size = F.encode(text, "UTF-8"), len(to_bytes(pattern))
@@ -84,6 +142,26 @@ def find_many(text: Column, patterns: list[str | bytes]) -> Column:
     return search(text)
 
 
+def find_each(text: Column, patterns: list[str | bytes]) -> Column:
+    """array<array<bigint>>: the offsets of each pattern, in list order."""
+    needles = [to_bytes(p) for p in patterns]
+
+    @F.arrow_udf("array<array<bigint>>")
+    def search(column: pa.Array) -> pa.Array:
+        finder, rows = _finder(needles), []
+        for t in column.cast(pa.binary()).to_pylist():
+            if t is None:
+                rows.append(None)
+                continue
+            lists: list[list[int]] = [[] for _ in needles]
+            for k, p in finder(t):
+                lists[k].append(p)
+            rows.append(lists)
+        return pa.array(rows, pa.list_(pa.list_(pa.int64())))
+
+    return search(text)
+
+
 def _finder(needles: list[bytes]):
     if sum(bool(n) for n in needles) < AUTOMATON_FROM:
         return lambda text: [(k, p) for k, n in enumerate(needles) for p in occurrences(text, n)]
@@ -99,30 +177,28 @@ def _finder(needles: list[bytes]):
 def compat_ends(text: bytes, pattern: bytes, k: int) -> list[int]:
     """End offsets by the engine's short approximate matcher (patterns of up to 64 bytes).
 
-    A bit vector per error level: a level moves on when its next byte fits or one error is taken over from the level
-    below; a hit at a level ends the work on that byte, so the levels above keep their state. That makes it neither Hamming nor
-    edit distance. From the empty state only the pattern's first byte leads anywhere, so the scan jumps to it."""
-    size, word = len(pattern), (1 << 64) - 1
-    fits = [0] * 256
-    for i, b in enumerate(pattern):
-        fits[b] |= 1 << i
-    goal, first, levels, found = 1 << (size - 1), pattern[:1], [0] * (k + 1), []
-    at, end = 0, len(text)
-    while at < end:
-        if not any(levels):
-            at = text.find(first, at)
-            if at < 0:
-                break
-        mask, carry = fits[text[at]], 1
-        for e, old in enumerate(levels):
-            new = (((old << 1) | carry) & mask) | (carry << 1 if e else 0)
-            levels[e] = new & word
-            carry = old
-            if new & goal:
-                found.append(at)
+    Level e holds a set of pattern places reached with at most e errors, as the bits of a word. On each byte, level 0 is entered from the start
+    and level e from what level e - 1 held before the byte: entered places must fit the byte, and for e > 0 the place behind each entering one
+    is reached besides. The first level that holds the last place reports the byte, and those above are left as they were: that makes it
+    neither Hamming nor edit distance. From empty levels only the pattern's first byte leads anywhere, so the scan jumps to it."""
+    last, word = len(pattern) - 1, (1 << 64) - 1
+    places: dict[int, int] = {}
+    for place, byte in enumerate(pattern):
+        places[byte] = places.get(byte, 0) + (1 << place)
+    held, ends, at = [0] * (k + 1), [], -1
+    while True:
+        at = at + 1 if any(held) else text.find(pattern[:1], at + 1)
+        if at < 0 or at >= len(text):
+            return ends
+        fitting, entering = places.get(text[at], 0), [1, *held]
+        for level, source in zip(range(k + 1), entering, strict=False):
+            reached = (2 * held[level] | source) & fitting
+            if level:
+                reached |= 2 * source
+            held[level] = reached & word
+            if reached >> last & 1:
+                ends.append(at)
                 break
-        at += 1
-    return found
 
 
 def edit_ends(text: bytes, pattern: bytes, k: int) -> list[int]:
@@ -179,6 +255,11 @@ def find_fuzzy(text: Column, pattern: str | bytes, max_errors: int = 1, mode: st
     return search(text)
 
 
+def clamp_errors(max_errors: int) -> int:
+    """The error budget of a request: 0 to MAX_ERRORS."""
+    return min(MAX_ERRORS, max(0, max_errors))
+
+
 def fuzzy_label(max_errors: int) -> str:
     return f"FUZZY(k={max(0, max_errors)})"
 

@@ -76,19 +76,32 @@ def iso(at: Column) -> Column:
     return F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
 
 
+# The shapes of an e-mail address and of a user name.
+EMAIL_SHAPE = r"^[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\.[a-zA-Z0-9-.]+$"
+NAME_SHAPE = "^[a-zA-Z0-9_]+$"
+#: Fewest characters of a password; fewest and most of a user name.
+PASSWORD_LEAST, NAME_LEAST, NAME_MOST = 8, 3, 32
+
+
 def valid_email(email: Column) -> Column:
-    return F.trim(email).rlike(r"^[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\.[a-zA-Z0-9-.]+$")
+    return F.trim(email).rlike(EMAIL_SHAPE)
+
+
+def first_failing(checks: list[tuple[str, Column]]) -> Column:
+    """The name of the first check that does not hold, '' if all do."""
+    names = F.array_compact(F.array(*[F.when(~holds, F.lit(name)) for name, holds in checks]))
+    return F.coalesce(F.try_element_at(names, F.lit(1)), F.lit(""))
 
 
 def password_problem(password: Column) -> Column:
-    """'' for a valid password, else what is missing."""
-    return F.when(F.char_length(password) < 8, "Password must be at least 8 characters.").when(~password.rlike("[A-Z]"), "Password must contain at least one uppercase letter.").when(~password.rlike("[0-9]"), "Password must contain at least one digit.").otherwise("")
+    """'' for a valid password, else what it lacks: length, upper_case or digit."""
+    return first_failing([("length", F.char_length(password) >= PASSWORD_LEAST), ("upper_case", password.rlike("[A-Z]")), ("digit", password.rlike("[0-9]"))])
 
 
 def username_problem(name: Column) -> Column:
-    """'' for a valid user name, else what is wrong."""
+    """'' for a valid user name, else what is wrong: too_short, too_long or characters."""
     size = F.char_length(F.trim(name))
-    return F.when(size < 3, "Username must be at least 3 characters.").when(size > 32, "Username must be at most 32 characters.").when(~F.trim(name).rlike("^[a-zA-Z0-9_]+$"), "Username may only contain letters, digits, and underscores.").otherwise("")
+    return first_failing([("too_short", size >= NAME_LEAST), ("too_long", size <= NAME_MOST), ("characters", F.trim(name).rlike(NAME_SHAPE))])
 
 
 def json_envelope(data: Column, message: str = "OK", success: bool = True) -> Column:

@@ -60,8 +60,8 @@ def unique_violations(spark, sf_dir):
 
 @query("""
 SELECT c_custkey, regexp_full_match(trim(c_name), '[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\\.[a-zA-Z0-9-.]+') AS email_ok,
-  CASE WHEN length(trim(c_name)) < 3 THEN 'Username must be at least 3 characters.' WHEN length(trim(c_name)) > 32 THEN 'Username must be at most 32 characters.' WHEN NOT regexp_full_match(trim(c_name), '[a-zA-Z0-9_]+') THEN 'Username may only contain letters, digits, and underscores.' ELSE '' END AS username_problem,
-  CASE WHEN length(c_mktsegment) < 8 THEN 'Password must be at least 8 characters.' WHEN NOT regexp_matches(c_mktsegment, '[A-Z]') THEN 'Password must contain at least one uppercase letter.' WHEN NOT regexp_matches(c_mktsegment, '[0-9]') THEN 'Password must contain at least one digit.' ELSE '' END AS password_problem
+  CASE WHEN length(trim(c_name)) < 3 THEN 'too_short' WHEN length(trim(c_name)) > 32 THEN 'too_long' WHEN NOT regexp_full_match(trim(c_name), '[a-zA-Z0-9_]+') THEN 'characters' ELSE '' END AS username_problem,
+  CASE WHEN length(c_mktsegment) < 8 THEN 'length' WHEN NOT regexp_matches(c_mktsegment, '[A-Z]') THEN 'upper_case' WHEN NOT regexp_matches(c_mktsegment, '[0-9]') THEN 'digit' ELSE '' END AS password_problem
 FROM customer""")
 def validators(spark, sf_dir):
     rows = table(spark, sf_dir, "customer")

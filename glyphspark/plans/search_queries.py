@@ -74,9 +74,27 @@ def search_multi_total(spark, sf_dir):
     return found.groupBy("pattern").agg(F.sum("match_count").alias("total"))
 
 
-@query(" UNION ALL ".join(f"SELECT doc_id, '{name}' AS algorithm, {_count(WORD)} AS match_count, {'TRUE' if name == 'KMP' else 'FALSE'} AS auto_selected FROM documents" for name in (*match.EXACT, match.MULTI)))
+#: More patterns than are searched one by one; none has a prefix that is also its suffix.
+MANY = [*WORDS, "for", "with", "der", "die", "und", "les", "des", "dans", "los", "por", "con", "ing", "ment", "ver", "sch", "ung", "oul", "ous", "est", "her", "ation", "ight", "able", "por el", "ñ", "ß"]
+
+
+@query(" UNION ALL ".join(f"SELECT doc_id, '{w}' AS pattern, {_count(w)} AS match_count FROM documents" for w in MANY))
+def search_many(spark, sf_dir):
+    """Many patterns by one automaton pass."""
+    return search.search_multi(table(spark, sf_dir, "documents"), MANY, "doc_id").select("doc_id", "pattern", "match_count")
+
+
+@query(f"SELECT doc_id, least(hits, 3) AS match_count, least(hits, 4) AS total_count, hits > 3 AS truncated FROM (SELECT doc_id, {_count(WORD)} AS hits FROM documents)")
+def search_stopped(spark, sf_dir):
+    """Texts are left at their fourth match."""
+    return search.search(table(spark, sf_dir, "documents"), WORD, algorithm="KMP", cap=3, stop=True).select("doc_id", "match_count", "total_count", "truncated")
+
+
+@query(" UNION ALL ".join(f"SELECT doc_id, '{name}' AS algorithm, {_count(WORD)} AS match_count, {'TRUE' if name == 'KMP' else 'FALSE'} AS auto_selected, length(text) AS text_length FROM documents" for name in (*match.EXACT, match.MULTI)))
 def search_compare(spark, sf_dir):
-    return search.compare(spread_out(table(spark, sf_dir, "documents").select("doc_id", "text")), WORD, "doc_id").filter(F.col("algorithm") != "Fuzzy (k=1)")
+    """The exact algorithms; durations and the fastest differ from run to run."""
+    rows = spread_out(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return search.compare(rows, WORD, "doc_id", with_fuzzy=False).select("doc_id", "algorithm", "match_count", "auto_selected", "text_length")
 
 
 @query(_positions_sql("documents", "doc_id", WORD))
@@ -105,15 +123,24 @@ def fuzzy_compat(spark, sf_dir):
     return found.select("doc_id", "match_count", F.array_join(F.transform("matches", lambda p: p.cast("string")), ",").alias("ends"))
 
 
-@query()
+#: The bytes of each text as characters (one that no pattern holds for those beyond ASCII), with the five before each.
+_BYTES = """
+WITH b AS (SELECT doc_id, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, regexp_extract_all(hex(encode(text)), '..') AS l FROM documents)),
+c AS (SELECT doc_id, i, CASE WHEN x < '80' THEN chr(CAST('0x' || x AS INTEGER)) ELSE '*' END AS c FROM b),
+w AS (SELECT doc_id, lag(c, 3) OVER o || lag(c, 2) OVER o || lag(c, 1) OVER o || c AS s4, lag(c, 4) OVER o AS c5, lag(c, 5) OVER o AS c6 FROM c WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+n AS ({count})
+SELECT doc_id, CAST(coalesce(hits, 0) AS INTEGER) AS hits FROM documents LEFT JOIN n USING (doc_id)"""
+_NEAR = " OR ".join(f"coalesce(levenshtein({s}, 'there') <= 1, FALSE)" for s in ("s4", "c5 || s4", "c6 || c5 || s4"))
+
+
+@query(_BYTES.format(count=f"SELECT doc_id, count(*) AS hits FROM w WHERE {_NEAR} GROUP BY doc_id"))
 def fuzzy_edit(spark, sf_dir):
     rows = spread_out(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return rows.select("doc_id", F.size(match.find_fuzzy(F.col("text"), "there", 1, "edit")).alias("hits"))
 
 
-@query()
+@query(_BYTES.format(count="SELECT doc_id, count(*) AS hits FROM w WHERE CASE WHEN length(c5 || s4) = 5 THEN hamming(c5 || s4, 'there') <= 1 ELSE FALSE END GROUP BY doc_id"))
 def fuzzy_hamming(spark, sf_dir):
-    """Every window of every text against the pattern; too slow in SQL, tested against brute force."""
     rows = spread_out(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return rows.select("doc_id", F.size(match.find_fuzzy(F.col("text"), "there", 1, "hamming")).alias("hits"))
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from glyphspark.functions import entities, match, profile
 from glyphspark.functions import text as tx
 from glyphspark.operators.analytics import grouped_entities
 from glyphspark.plans.registering import collector
-from glyphspark.plans.views import spread_out, table
+from glyphspark.plans.views import notes, notes_sql, spread_out, table
 
 QUERIES, ORACLES, query = collector()
 
@@ -51,17 +53,20 @@ def select_algorithm(spark, sf_dir):
     return rows.select("doc_id", profile.select_algorithm(F.col("pattern"), F.col("p.is_monotone")).alias("algorithm"))
 
 
+_SAID = {k: "'" + r.replace("%s", "' || {} || '") + "'" for k, r in profile.REASONS.items()}
+_BITS = "format('{{:.2f}}', entropy)"
+
+
 @query(_PROFILE + f"""
-SELECT doc_id, CASE algorithm
-  WHEN 'KMP' THEN CASE WHEN n <> length(pattern) THEN 'non-ASCII pattern (Hebrew/Unicode) → KMP byte-level scan' WHEN n <= 4 THEN 'very short pattern (' || n || 'B) → KMP avoids BM table overhead' ELSE 'monotone text' END
-  WHEN 'Shift-Or' THEN 'ASCII pattern ≤64B (' || n || 'B) → bit-parallel Shift-Or'
-  ELSE 'natural/varied text, long pattern (' || n || 'B) → BM sub-linear skips' END AS reason
-FROM (SELECT doc_id, pattern, strlen(pattern) AS n, {_choice('pattern', 'is_monotone')} AS algorithm FROM (SELECT doc_id, {_FIRST_WORDS} AS pattern FROM documents) JOIN f USING (doc_id))""")
+SELECT doc_id, concat_ws('; ', CASE algorithm
+  WHEN 'KMP' THEN CASE WHEN n <> length(pattern) THEN {_SAID['KMP non-ASCII']} WHEN n <= 4 THEN {_SAID['KMP short'].format('n')} ELSE {_SAID['KMP monotone'].format(_BITS)} END
+  WHEN 'Shift-Or' THEN {_SAID['Shift-Or'].format('n')} ELSE {_SAID['Boyer-Moore'].format('n')} END,
+  CASE WHEN size > 0 THEN concat('text profile: len=', size, 'B entropy=', {_BITS}, 'b unique_bytes=', unique_bytes, ' non_ascii=', CASE WHEN has_non_ascii THEN 'True' ELSE 'False' END) END) AS reason
+FROM (SELECT doc_id, pattern, strlen(pattern) AS n, size, entropy, unique_bytes, has_non_ascii, {_choice('pattern', 'is_monotone')} AS algorithm FROM (SELECT doc_id, {_FIRST_WORDS} AS pattern, strlen(text) AS size FROM documents) JOIN f USING (doc_id))""".replace("{{:.2f}}", "{:.2f}"))
 def explain_selection(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select("doc_id", _pattern().alias("pattern"), profile.profile_text(F.col("text")).alias("p"), F.octet_length("text").alias("n"))
     why = profile.explain_selection(profile.select_algorithm(F.col("pattern"), F.col("p.is_monotone")), F.col("pattern"), F.col("p"), F.col("n"))
-    reason = F.element_at(F.split(why, "; "), 1)
-    return rows.select("doc_id", F.when(reason.startswith("monotone"), "monotone text").otherwise(reason).alias("reason"))
+    return rows.select("doc_id", why.alias("reason"))
 
 
 @query("SELECT doc_id, CAST(strlen(text) AS INTEGER) AS length, strlen(text) <> length(text) AS has_non_ascii, strlen(text) = length(text) AS is_ascii_only FROM documents WHERE text IS NOT NULL")
@@ -69,57 +74,63 @@ def pattern_profile(spark, sf_dir):
     return table(spark, sf_dir, "documents").filter("text IS NOT NULL").select("doc_id", profile.profile_pattern(F.col("text")).alias("p")).select("doc_id", "p.*")
 
 
-_SQL_PATTERNS = {
-    "DATE": r"\b(?:\d{4}[-/]\d{1,2}[-/]\d{1,2}|\d{1,2}[-/.]\d{1,2}[-/.]\d{2,4}|\d{1,2}\s+(?:" + entities._MONTHS + r")(?:\s+\d{2,4})?)\b",
-    **{k: v for k, v in entities.PATTERNS.items() if k in ("TIME", "EMAIL", "PHONE", "IP_ADDRESS", "IP_ADDRESS v6", "URL", "ISRAELI_ID")},
-}
-
+#: Types whose grammar both engines read as it is.
+_SQL_PATTERNS = {k: v for k, v in entities.PATTERNS.items() if k not in ("HASHTAG", "MENTION")}
+#: Where the entities are looked for: (key, text) of three tables.
+_TEXTS_SQL = f"(SELECT page_id AS id, html AS t FROM pages UNION ALL SELECT doc_id, text FROM documents UNION ALL SELECT note_id, text FROM ({notes_sql()}))"
 
-def _values_sql(kind: str) -> str:
-    rx = _SQL_PATTERNS[kind].replace("'", "''")
-    return f"SELECT page_id, unnest(regexp_extract_all(html, '{rx}')) AS value FROM pages UNION ALL SELECT doc_id, unnest(regexp_extract_all(text, '{rx}')) FROM documents"
 
+def _texts(spark, sf_dir):
+    pages, documents = table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents")
+    return pages.select(F.col("page_id").alias("id"), F.col("html").alias("t")).unionAll(documents.select("doc_id", "text")).unionAll(notes(spark, sf_dir).select("note_id", "text"))
 
-def _values(spark, sf_dir, kind):
-    both = table(spark, sf_dir, "pages").select("page_id", F.col("html").alias("t")).unionAll(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return both.select("page_id", F.explode(entities.values(F.col("t"), kind)).alias("value"))
 
+def _names_of(kind: str) -> str:
+    shape, names = entities.NAME_TOKENS[kind]
+    return ", ".join("'" + n.replace("'", "''") + "'" for n in sorted(names) if re.fullmatch(shape, n))
 
-for _name, _kind in (("entity_date", "DATE"), ("entity_time", "TIME"), ("entity_email", "EMAIL"), ("entity_phone", "PHONE"), ("entity_ipv4", "IP_ADDRESS"), ("entity_ipv6", "IP_ADDRESS v6"), ("entity_url", "URL")):
-    QUERIES[_name] = lambda spark, sf_dir, kind=_kind: _values(spark, sf_dir, kind)
-    ORACLES[_name] = _values_sql(_kind)
 
 _CHECKED = " + ".join(f"(CASE WHEN {w} * d[{i}] > 9 THEN {w} * d[{i}] - 9 ELSE {w} * d[{i}] END)" for i, w in enumerate((1, 2) * 4 + (1,), 1))
 
 
-@query(f"SELECT page_id, value FROM (SELECT page_id, value, CAST(string_split(value, '') AS INTEGER[]) AS d FROM ({_values_sql('ISRAELI_ID')})) WHERE ({_CHECKED}) % 10 = 0")
-def entity_id_number(spark, sf_dir):
-    return _values(spark, sf_dir, "ISRAELI_ID")
-
+def _found_sql(kind: str, t: str = "t") -> str:
+    """The list of the values of one type in a text, as SQL."""
+    if kind in entities.NAME_TOKENS:
+        return f"list_filter(string_split_regex({t}, '[\\s,.()\\[\\]\"'']'), lambda x: x IN ({_names_of(kind)}))"
+    if kind in ("HASHTAG", "MENTION"):  # no look-behind in SQL: the character before is read, too
+        mark = "#" if kind == "HASHTAG" else "@"
+        return f"regexp_extract_all({t}, '(?:^|[^\\w\\x{{0080}}-\\x{{10FFFF}}])({mark}[\\w\\x{{00AA}}-\\x{{10FFFF}}]+)', 1)"
+    rx = _SQL_PATTERNS[kind].replace("'", "''")
+    found = f"regexp_extract_all({t}, '{rx}')"
+    if kind == "ISRAELI_ID":
+        digits = _CHECKED.replace("d[", "CAST(string_split(x, '') AS INTEGER[])[")
+        return f"list_filter({found}, lambda x: ({digits}) % 10 = 0)"
+    return found
 
-for _name, _kind, _mark in (("entity_hashtag", "HASHTAG", "#"), ("entity_mention", "MENTION", "@")):
-    QUERIES[_name] = lambda spark, sf_dir, kind=_kind: _values(spark, sf_dir, kind)
-    _rx = rf"(?:^|[^\w\x{{0080}}-\x{{10FFFF}}])({_mark}[\w\x{{00AA}}-\x{{10FFFF}}]+)"
-    ORACLES[_name] = f"SELECT page_id, unnest(regexp_extract_all(html, '{_rx}', 1)) AS value FROM pages UNION ALL SELECT doc_id, unnest(regexp_extract_all(text, '{_rx}', 1)) FROM documents"
 
+def _register_values(name: str, kind: str) -> None:
+    def values(spark, sf_dir):
+        return _texts(spark, sf_dir).select("id", F.explode(entities.values(F.col("t"), kind)).alias("value"))
 
-@query("SELECT doc_id, unnest(list_filter(string_split_regex(text, '[\\s,.()\\[\\]\"'']'), lambda t: t IN (" + ", ".join("'" + n.replace("'", "''") + "'" for n in sorted(entities.NAME_TOKENS["ENGLISH_NAME"][1])) + "))) AS value FROM documents")
-def entity_english_name(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.explode(entities.values(F.col("text"), "ENGLISH_NAME")).alias("value"))
+    QUERIES[name] = values
+    ORACLES[name] = f"SELECT id, unnest({_found_sql(kind)}) AS value FROM {_TEXTS_SQL}"
 
 
-@query("SELECT doc_id, unnest(list_filter(string_split_regex(text, '[\\s,.()\\[\\]\"'']'), lambda t: t IN (" + ", ".join("'" + n.replace("'", "''") + "'" for n in sorted(entities.NAME_TOKENS["HEBREW_NAME"][1]) if "-" not in n and "'" not in n) + "))) AS value FROM documents")
-def entity_hebrew_name(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.explode(entities.values(F.col("text"), "HEBREW_NAME")).alias("value"))
+for _name, _kind in (
+    ("entity_date", "DATE"), ("entity_time", "TIME"), ("entity_email", "EMAIL"), ("entity_phone", "PHONE"), ("entity_ipv4", "IP_ADDRESS"), ("entity_ipv6", "IP_ADDRESS v6"), ("entity_url", "URL"),
+    ("entity_id_number", "ISRAELI_ID"), ("entity_hashtag", "HASHTAG"), ("entity_mention", "MENTION"), ("entity_english_name", "ENGLISH_NAME"), ("entity_hebrew_name", "HEBREW_NAME"),
+):
+    _register_values(_name, _kind)
 
 
-_COUNTED = {"DATE": "DATE", "TIME": "TIME", "EMAIL": "EMAIL", "PHONE": "PHONE", "URL": "URL"}
+def _lengths_sql(kind: str) -> str:
+    return " + ".join(f"len({_found_sql(k)})" for k in ([kind, "IP_ADDRESS v6"] if kind == "IP_ADDRESS" else [kind]))
 
 
-@query("SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{k}' AS type, CAST(sum(len(regexp_extract_all(text, '{_SQL_PATTERNS[k].replace(chr(39), chr(39) * 2)}'))) AS BIGINT) AS n FROM documents" for k in _COUNTED) + f" UNION ALL SELECT 'IP_ADDRESS', CAST(sum(len(regexp_extract_all(text, '{_SQL_PATTERNS['IP_ADDRESS']}')) + len(regexp_extract_all(text, '{_SQL_PATTERNS['IP_ADDRESS v6']}'))) AS BIGINT) FROM documents)")
+@query("SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{k}' AS type, CAST(sum({_lengths_sql(k)}) AS BIGINT) AS n FROM {_TEXTS_SQL}" for k in entities.TYPES) + ")")
 def entity_counts_by_type(spark, sf_dir):
-    each = table(spark, sf_dir, "documents").select(F.explode(entities.counts(F.col("text"))).alias("type", "n"))
-    return each.filter(F.col("type").isin(*_COUNTED, "IP_ADDRESS")).groupBy("type").agg(F.sum("n").cast("bigint").alias("n"))
+    each = _texts(spark, sf_dir).select(F.explode(entities.counts(F.col("t"))).alias("type", "n"))
+    return each.groupBy("type").agg(F.sum("n").cast("bigint").alias("n"))
 
 
 @query()
@@ -129,13 +140,17 @@ def entity_full(spark, sf_dir):
     return rows.select("doc_id", "e.*")
 
 
-_MAIL = _SQL_PATTERNS["EMAIL"]
+_GROUPED = ("EMAIL", "URL", "HASHTAG", "ENGLISH_NAME")
 
 
-@query(f"SELECT doc_id, 'EMAIL' AS type, array_to_string(list_sort(list_distinct(v)), ',') AS vals, CAST(len(list_distinct(v)) AS BIGINT) AS n FROM (SELECT doc_id, regexp_extract_all(text, '{_MAIL}') AS v FROM documents) WHERE len(v) > 0")
+@query(" UNION ALL ".join(f"SELECT id, '{k}' AS type, array_to_string(list_sort(list_distinct(v)), ',') AS vals, CAST(len(list_distinct(v)) AS BIGINT) AS n FROM (SELECT id, flatten(list(v)) AS v FROM (SELECT id, {_found_sql(k)} AS v FROM {_TEXTS_SQL}) GROUP BY id) WHERE len(v) > 0" for k in _GROUPED))
 def entity_groups(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.lit("EMAIL").alias("type"), F.explode(entities.values(F.col("text"), "EMAIL")).alias("value"))
-    return grouped_entities(rows, "doc_id").withColumn("vals", F.array_join("vals", ","))
+    def typed(kind):
+        return F.transform(entities.values(F.col("t"), kind), lambda v: F.struct(F.lit(kind).alias("type"), v.alias("value")))
+
+    found = F.explode(F.concat(*map(typed, _GROUPED)))
+    rows = _texts(spark, sf_dir).select("id", found.alias("e")).select("id", "e.*")
+    return grouped_entities(rows, "id").withColumn("vals", F.array_join("vals", ","))
 
 
 @query("""
@@ -155,10 +170,10 @@ def highlight(spark, sf_dir):
 
 
 @query("""
-SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda l: trim(l)), lambda l: l <> '')[1] AS first_line, CAST(len(list_filter(list_transform(string_split(text, chr(10)), lambda l: trim(l)), lambda l: l <> '')) AS INTEGER) AS n FROM documents""")
+SELECT doc_id, md5(array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda l: trim(l)), lambda l: l <> ''), chr(10))) AS patterns, CAST(len(list_filter(list_transform(string_split(text, chr(10)), lambda l: trim(l)), lambda l: l <> '')) AS INTEGER) AS n FROM documents""")
 def parse_patterns(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select("doc_id", tx.parse_patterns(F.col("text")).alias("p"))
-    return rows.select("doc_id", F.get("p", F.lit(0)).alias("first_line"), F.size("p").alias("n"))
+    return rows.select("doc_id", F.md5(F.array_join("p", "\n").cast("binary")).alias("patterns"), F.size("p").alias("n"))
 
 
 @query("SELECT page_id, lower(coalesce(regexp_extract(url, '(\\.[^./\\\\]+)$', 1), '')) AS suffix, string_split(url, '/')[-1] AS basename FROM pages")

@@ -55,3 +55,26 @@ USERS_SQL = """
 WITH users AS (SELECT CAST(c_custkey AS VARCHAR) AS id, '  ' || replace(c_name, '#', '_') AS username, ' User.' || CAST(c_custkey AS VARCHAR) || '@Example.COM ' AS email,
                CASE WHEN c_custkey % 10 = 0 THEN 'admin' ELSE 'user' END AS role, c_custkey % 7 <> 0 AS is_active FROM customer)
 """
+
+
+def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """note_id, text: events told in words, with entities of every type."""
+    from glyphspark.functions.names import ENGLISH_FIRST, ENGLISH_LAST, HEBREW_FIRST
+
+    e = table(spark, sf_dir, "events")
+    one = lambda names, by: F.get(F.array(*map(F.lit, sorted(names))), (F.col("event_id") * by % len(names)).cast("int"))
+    number = F.lpad((F.col("event_id") * 7919 % 1_000_000_000).cast("string"), 9, "0")
+    parts = ["On ", F.date_format("ts", "yyyy-MM-dd"), " at ", F.date_format("ts", "HH:mm"), " @user", F.col("user_id").cast("string"), " saw #", "event_type", " (", one(ENGLISH_FIRST, 1), " ", one(ENGLISH_LAST, 7), "), id ", number]
+    parts += [" via https://example.org/e/", F.col("event_id").cast("string"), "?u=", F.col("user_id").cast("string"), " from fe80:0:", F.lower(F.hex("event_id")), ":1 and 10.0.", (F.col("event_id") % 300).cast("string"), ".7, u", F.col("user_id").cast("string"), "@mail.example.org; +1 (555) 010-", (F.col("event_id") % 1000).cast("string"), ", ", one(HEBREW_FIRST, 3), "."]
+    return e.select(F.col("event_id").alias("note_id"), F.concat(*[F.lit(p) if isinstance(p, str) and p != "event_type" else F.col(p) if isinstance(p, str) else p for p in parts]).alias("text"))
+
+
+def notes_sql() -> str:
+    from glyphspark.functions.names import ENGLISH_FIRST, ENGLISH_LAST, HEBREW_FIRST
+
+    def one(names, by):
+        quoted = ", ".join("'" + n.replace("'", "''") + "'" for n in sorted(names))
+        return f"[{quoted}][1 + event_id * {by} % {len(names)}]"
+
+    return f"""SELECT event_id AS note_id, concat('On ', strftime(ts, '%Y-%m-%d'), ' at ', strftime(ts, '%H:%M'), ' @user', user_id, ' saw #', event_type, ' (', {one(ENGLISH_FIRST, 1)}, ' ', {one(ENGLISH_LAST, 7)}, '), id ',
+  lpad(CAST(event_id * 7919 % 1000000000 AS VARCHAR), 9, '0'), ' via https://example.org/e/', event_id, '?u=', user_id, ' from fe80:0:', lower(to_hex(event_id)), ':1 and 10.0.', event_id % 300, '.7, u', user_id, '@mail.example.org; +1 (555) 010-', event_id % 1000, ', ', {one(HEBREW_FIRST, 3)}, '.') AS text FROM events"""

@@ -37,7 +37,7 @@ class FileTail(DataSource):
 
 
 class _TailReader(SimpleDataSourceStreamReader):
-    """The offset is the file's size and time of change, so a batch is read again only if nothing has changed since."""
+    """The offset is the file's size and time of change, and a batch is the file up to that size."""
 
     def __init__(self, path: str):
         self.path = path
@@ -52,19 +52,20 @@ class _TailReader(SimpleDataSourceStreamReader):
             return {"size": -2, "changed": -2}
         return {"size": stat.st_size, "changed": stat.st_mtime_ns}
 
-    def _rows(self) -> list[tuple]:
+    def _rows(self, size: int) -> list[tuple]:
+        """The file up to `size` bytes: what the offset stands for, also when a batch is read again after the file has grown."""
         try:
             with open(self.path, "rb") as f:
-                return [(self.path, f.read(), None)]
+                return [(self.path, f.read(size) if size >= 0 else f.read(), None)]
         except OSError as e:
             return [(self.path, None, str(e))]
 
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
         now = self._stamp()
-        return iter(self._rows() if now != start else []), now
+        return iter(self._rows(now["size"]) if now != start else []), now
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        return iter(self._rows())
+        return iter(self._rows(end["size"]))
 
 
 def tail(spark: SparkSession, path: str) -> DataFrame:

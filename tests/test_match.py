@@ -87,6 +87,21 @@ def test_compare(spark):
     assert len(got) == 6
     assert all(got[a]["match_count"] == 10_000 for a in match.EXACT)
     assert [a for a in got if got[a]["auto_selected"]] == ["KMP"]
+    assert sum(r["fastest"] for r in got.values()) == 1 and all(r["duration_ms"] > 0 for r in got.values())
+    assert min(got.values(), key=lambda r: r["duration_ms"])["duration_ms"] == next(r["duration_ms"] for r in got.values() if r["fastest"])
+    assert {r["text_length"] for r in got.values()} == {450_000}
+    assert len(search.compare(rows, "fox", "id", with_fuzzy=False).collect()) == 5
+    with pytest.raises(Exception, match="at most 1000 bytes"):
+        search.compare(rows, "fox", "id", max_bytes=1000).collect()
+
+
+def test_a_text_is_left_beyond_the_cap(spark):
+    rows = column(spark, ["aaaaaa", "aa", "", None])
+    got = search.search(rows, "a", cap=2, stop=True).orderBy("id").collect()
+    assert [(r["matches"], r["total_count"], r["truncated"]) for r in got[:3]] == [([0, 1], 3, True), ([0, 1], 2, False), ([], 0, False)]
+    whole = search.search(rows, "a", cap=2).orderBy("id").first()
+    assert (whole["matches"], whole["total_count"], whole["truncated"]) == ([0, 1], 6, True)
+    assert search.search(rows, "a", fuzzy=True, max_errors=99).first()["algorithm"] == "FUZZY(k=5)"
 
 
 def test_fuzzy_compat_goldens():

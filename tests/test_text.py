@@ -105,4 +105,4 @@ def test_formats(spark):
 def test_validators(spark):
     assert one(spark, tx.valid_email(F.col("t")), t=" a.b@c.de ") and not one(spark, tx.valid_email(F.col("t")), t="a@b")
     assert one(spark, tx.password_problem(F.col("t")), t="Passw0rd") == "" and "digit" in one(spark, tx.password_problem(F.col("t")), t="Password")
-    assert one(spark, tx.username_problem(F.col("t")), t="ab") and one(spark, tx.username_problem(F.col("t")), t="a b c") and one(spark, tx.username_problem(F.col("t")), t="a_b") == ""
+    assert one(spark, tx.username_problem(F.col("t")), t="ab") == "too_short" and one(spark, tx.username_problem(F.col("t")), t="a b c") == "characters" and one(spark, tx.username_problem(F.col("t")), t="a_b") == ""
