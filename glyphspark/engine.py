@@ -87,8 +87,8 @@ class Engine:
     def recommend(self, user_id: str) -> DataFrame:
         return recommend.recommend_user(self.history(), self.performance_logs(), user_id)
 
-    def start_monitoring(self, path: str, pattern: str, callback, algorithm: str = "KMP") -> str:
-        return self.monitor.watch(path, pattern, callback, algorithm)
+    def start_monitoring(self, path: str, pattern: str, callback, algorithm: str = "KMP", append_only: bool = False) -> str:
+        return self.monitor.watch(path, pattern, callback, algorithm, append_only=append_only)
 
     def stop_monitoring(self, watch_id: str | None = None) -> None:
         if watch_id is None:
