@@ -27,7 +27,7 @@ def profile_of(sample: bytes) -> dict:
     counts = np.bincount(np.frombuffer(sample, np.uint8), minlength=256)
     used = counts[counts > 0]
     share = used / size
-    entropy, unique = float(-(share * np.log2(share)).sum()), len(used)
+    entropy, unique = float(0.0 - (share * np.log2(share)).sum()), len(used)  # one byte value only: 0.0, not -0.0
     return {
         "length": size,
         "unique_bytes": unique,
@@ -100,7 +100,8 @@ PROFILE_REASON = "text profile: len=%sB entropy=%sb unique_bytes=%s non_ascii=%s
 def explain_selection(algorithm: Column, pattern: Column, profile: Column | None = None, text_bytes: Column | None = None) -> Column:
     """Why a matcher was chosen, with the text's profile where there is one."""
     size = F.octet_length(pattern)
-    entropy = F.lit(None).cast("string") if profile is None else F.format_string("%.2f", profile["entropy"])
+    # format_number rounds the exact value half to even, as SQL does; format_string rounds 3.125 up.
+    entropy = F.lit(None).cast("string") if profile is None else F.format_number(profile["entropy"], 2)
     monotone = F.lit(False) if profile is None else F.coalesce(profile["is_monotone"], F.lit(False))
 
     def say(key: str, *values: Column) -> Column:

@@ -41,6 +41,15 @@ def test_query_equals_sql(spark, duck, name):
     assert len(got), "nothing is compared with nothing"
 
 
+def test_explanation_equals_sql_at_ties(spark, tmp_path):
+    texts = ["aaaabbccddefghij", "aaaaaaaabbccddef", "aaaaaaaabbbbccde", "a", "a" * 8, "ab" * 40_000, "é", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    connection = duckdb.connect()
+    connection.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got, want = shown(registry.QUERIES["explain_selection"](spark, str(tmp_path)).toPandas()), shown(connection.sql(registry.ORACLES["explain_selection"]).df())
+    assert len(got) == len(texts) and got.equals(want)
+
+
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLES)))
 def test_query_without_sql_runs(spark, duck, name):
     got = registry.QUERIES[name](spark, SF).toPandas()

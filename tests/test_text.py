@@ -47,6 +47,14 @@ def test_explanation(spark):
     assert one(spark, profile.explain_selection(F.lit("KMP"), F.col("p")), p="ab").startswith("very short pattern (2B)")
 
 
+def test_explanation_rounds_entropy_half_to_even(spark):
+    why = profile.explain_selection(F.lit("KMP"), F.col("p"), profile.profile_text(F.col("t")), F.octet_length("t"))
+    for text, exact, shown in (("aaaabbccddefghij", 3.125, "3.12"), ("aaaaaaaabbccddef", 2.125, "2.12"), ("aaaaaaaabbbbccde", 1.875, "1.88"), ("a" * 10, 0.0, "0.00")):
+        assert profile.profile_of(text.encode())["entropy"] == exact
+        got = one(spark, why, p="abcde", t=text)
+        assert got.startswith(f"monotone text (entropy={shown}b)") and f"B entropy={shown}b unique" in got
+
+
 def test_entities():
     found = entities.entities_of(MIXED)
     assert {e["type"] for e in found} >= {"DATE", "TIME", "EMAIL", "PHONE", "IP_ADDRESS", "URL", "HASHTAG", "MENTION", "ENGLISH_NAME", "ISRAELI_ID"}
